@@ -1,13 +1,13 @@
 """Jaccard self-join of word-shingle sets by prefix filters under several global token orders.
 
-Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each, whatever the order is. Order
-one is by hash; it is cheap, and sets that share no such token with another are done. For what is left, order two puts
-frequent tokens last, with positions that bound the overlap; order three is by another hash. A pair must pass all of
-them before its sets are compared.
+Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each, whatever the order is, and
+one more for each token by which these prefixes are made longer. Order one is by hash; it is cheap, and a set of whose
+prefix too few tokens are in any other prefix is done. For what is left, order two puts frequent tokens last; order
+three is by another hash. A pair must share enough of its prefixes under all of them before its sets are compared.
 
 Documents with equal sets are one class, joined once. To find components, the members of a token's list are first
-compared with one of them, the one with the fewest rare tokens before it; pairs inside a component that this links
-need no comparison, all others get it. No list, class or component is collected anywhere.
+compared with one of them, the one with the fewest rare tokens before it (each set with that of most of its lists);
+pairs inside a component that this links need no comparison, all others get it. No list, class or component is collected anywhere.
 
 Nulls: a null text counts as empty; an empty set links with nothing. A row with a null identifier links with nothing
 and has a null component. Equal rows are one class. An empty table gives an empty result. Only the two named columns
@@ -49,8 +49,28 @@ def class_of(x: np.ndarray) -> np.uint64:
     return mix(np.array([mix(x ^ _THIRD).sum(dtype=np.uint64) + np.uint64(len(x))]))[0]
 
 
+def required(n: int, percent: int) -> int:
+    """The least overlap of a set of n with any partner."""
+    return -(-percent * n // 100)
+
+
 def prefix(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Tokens of a set that are looked at: as many as one in common takes, and a tenth of the set more."""
+    return min(n, n - required(n, percent) + 1 + n // 10)
+
+
+def in_common(n: int, m: int, percent: int) -> int:
+    """Tokens that the prefixes of two sets, of n and m, have in common at least, under any order."""
+    overlap = -(-percent * (n + m) // (100 + percent))
+    return overlap - max(n - prefix(n, percent), m - prefix(m, percent))
+
+
+def _prefix_sql(n: str, percent: int) -> str:
+    return f"least({n}, {n} - ({percent} * {n} + 99) DIV 100 + 1 + {n} DIV 10)"
+
+
+def _in_common_sql(n: str, m: str, percent: int) -> str:
+    return f"({percent} * ({n} + {m}) + {99 + percent}) DIV {100 + percent} - greatest({n} - {_prefix_sql(n, percent)}, {m} - {_prefix_sql(m, percent)})"
 
 
 class _Postings:
@@ -160,9 +180,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         yield from post.flush()
 
     rows = materialise(docs.mapInArrow(classes, "doc_id long, n_shingles long, cls long"), "classes")
-    reps = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    reps = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(first_order, "bucket long, shared boolean, packed binary")
-    left = materialise(_shared(packed, buckets, positions=False).select("cls").distinct().join(reps, "cls"), "first-order")
+    enough = f"shared >= {_prefix_sql('n', percent)} - (n - ({percent} * n + 99) DIV 100)"
+    left = materialise(_shared(packed, buckets, positions=False).groupBy("cls").agg(F.count(F.lit(1)).alias("shared")).join(reps, "cls").where(enough).select("cls", "rep"), "first-order")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -176,17 +197,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # First against one member of each token's list, then whatever is in different components.
     centre = shared.groupBy("token").agg(F.min(F.struct("pos", "cls", "n")).alias("c"))
-    stars = _pairs(shared.join(centre, "token").select("cls", "n", "pos", F.col("c.cls").alias("cls2"), F.col("c.n").alias("n2"), F.col("c.pos").alias("pos2")), percent)
-    stars = materialise(stars, "stars")
+    near = shared.join(centre, "token").where("cls != c.cls AND " + _SIZES.format(n="n", m="c.n", p=percent))
+    most = near.groupBy("cls", F.col("c.cls").alias("cls2")).agg(F.count(F.lit(1)).alias("times")).groupBy("cls").agg(F.max(F.struct("times", "cls2")).alias("best"))
+    stars = materialise(_pairs(most.select("cls", F.col("best.cls2").alias("cls2"))).distinct(), "stars")
     links = materialise(_verified(stars, whole, percent), "links")
     found = components(links)
     marked = materialise(shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "marked")
     mixed = marked.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     open_ = marked.join(mixed, "token", "left_semi")
-    x = open_.select("token", "cls", "n", "pos", "component")
-    y = open_.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    rest = _pairs(x.join(y, (x.token == y.token) & (x.cls < y.cls2) & (x.component != y.component2) & _possible(percent)).drop("token"), percent)
-    more = materialise(_verified(rest.join(stars, ["a", "b"], "left_anti"), whole, percent), "links")
+    x, y = open_.select("token", "cls", "n", "component"), open_.selectExpr("token", "cls AS cls2", "n AS m", "component AS component2")
+    met = x.join(y, "token").where("cls < cls2 AND component != component2 AND " + _SIZES.format(n="n", m="m", p=percent))
+    rest = met.groupBy("cls", "cls2", "n", "m").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= {_in_common_sql('n', 'm', percent)}")
+    more = materialise(_verified(_pairs(rest).join(stars, ["a", "b"], "left_anti"), whole, percent), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
     named = reps.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -196,15 +218,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _possible(percent: int):
-    """Sizes and the positions of a common token that leave room for the overlap asked for."""
-    few, many = F.least("n", "n2"), F.greatest("n", "n2")
-    room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    return (100 * few >= percent * many) & ((100 + percent) * room >= percent * (few + many))
+_SIZES = "100 * least({n}, {m}) >= {p} * greatest({n}, {m})"
 
 
-def _pairs(df: DataFrame, percent: int) -> DataFrame:
-    return df.where((F.col("cls") != F.col("cls2")) & _possible(percent)).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
 
 
 def _frequent(whole: DataFrame) -> np.ndarray:
@@ -263,10 +281,11 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
             for a, c, r, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 x, y = np.frombuffer(r.as_py(), dtype=np.uint64), np.frombuffer(s.as_py(), dtype=np.uint64)
                 p, q = prefix(len(x), percent), prefix(len(y), percent)
-                if not common(x[:p], y[:q]):
+                least = in_common(len(x), len(y), percent)
+                if common(x[:p], y[:q]) < least:
                     continue
                 third = [z[np.argsort(mix(z ^ _THIRD))[:m]] for z, m in ((x, p), (y, q))]
-                if common(*third) and 100 * (both := common(x, y)) >= percent * (len(x) + len(y) - both):
+                if common(*third) >= least and 100 * (both := common(x, y)) >= percent * (len(x) + len(y) - both):
                     kept.append((a, c))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([c for _, c in kept], pa.int64())], ["a", "b"])
 
