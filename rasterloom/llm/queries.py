@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, exact, ngram_join, sharding, warc
+from rasterloom.llm import bpe, exact, langid, ngram_join, sharding, warc
 from rasterloom.llm.common import table
 
 
@@ -15,6 +16,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_rows(manifest).withColumnRenamed("id", "page_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.bucket(F.col("doc_id"), 5) == 0
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op4_language": op4_language,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
     "op9_ngram_join": op9_ngram_join,
