@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, exact, langid, ngram_join, sharding, warc
+from rasterloom.llm import bpe, exact, langid, ngram_join, sharding, toxicity, warc
 from rasterloom.llm.common import table
 
 
@@ -31,6 +31,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.bucket(F.col("doc_id"), 3) == 1
+    learned = docs.where(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), toxicity.fit(learned))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_bpe": op10_bpe,
 }

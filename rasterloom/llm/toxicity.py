@@ -2,8 +2,8 @@
 
 Training takes the labelled rows with the smallest identifier hashes, `sample` per label at most (a documented bound).
 Both dictionaries are zstandard dictionaries of windows of a few words. Ordinary windows come from ordinary rows. Toxic
-rows are mostly made of ordinary windows, so those windows of them are taken that the ordinary dictionary compresses
-worst and whose words recur in toxic rows far more often than in ordinary ones. A window's distance is the difference
+rows are mostly made of ordinary words too, so the toxic dictionary is the ordinary one and, before it, the words that
+recur in toxic rows far more often than in ordinary ones, in changing surroundings. A window's distance is the difference
 of its two compressed lengths; a text's features are how far its windows exceed what ordinary windows show. A logistic
 curve, fitted to the half of the sample that no dictionary was trained on, calibrates them to a score, in which 0.7
 separates the labels best.
@@ -12,3 +12,138 @@ Nulls: rows without a label or text aren't learned from; a null or empty text ge
 toxic window. Identifiers, labels and languages take no part in a score. Equal texts get equal scores. Without labelled
 rows of both kinds every score is 0. Only the named columns are read.
 """
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rasterloom.llm.langid import sampled
+from rasterloom.llm.words import slices
+
+#: Labelled rows per label that training reads, words of a window, bytes of each dictionary, the level of compression.
+SAMPLE, WINDOW, DICTIONARY, LEVEL = 6000, 8, 1 << 16, 3
+#: A word of toxic rows is distinctive if it is so many times as frequent as in ordinary rows, by a G-test of this value.
+LIFT, G_TEST = 8.0, 15.0
+#: Share of ordinary windows whose distance stays below the calibrated one, and the score from which a text is toxic.
+QUANTILE, THRESHOLD = 0.999, 0.7
+
+
+def windows(text: str | None) -> list[bytes]:
+    words = (text or "").lower().encode().split()
+    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
+
+
+class Model:
+    def __init__(self, ordinary: bytes = b"", toxic: bytes = b""):
+        """ordinary: windows of ordinary text; toxic: distinctive words of toxic text. The toxic dictionary holds both, so what is ordinary compresses alike."""
+        self.content, self.theta, self.weights = (ordinary, toxic + ordinary), 0.0, None
+        self.packers = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"packers": None}
+
+    def distances(self, text: str | None) -> np.ndarray:
+        """By how many bytes each window is shorter with the toxic dictionary."""
+        if not self.packers:
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=5, strategy=zstandard.STRATEGY_LAZY2)
+            self.packers = []
+            for c in self.content:
+                d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=params)
+                self.packers.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress)
+        plain, toxic = self.packers
+        return np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], dtype=np.int64)
+
+    def features(self, text: str | None) -> list[float]:
+        d = self.distances(text)
+        over = np.maximum(0, d - self.theta)
+        return [float(min(over.sum(), 60)), float(over.max(initial=0)), float((over > 0).sum() > 1), float(np.log1p(len(d)))]
+
+    def score(self, text: str | None) -> float:
+        if self.weights is None:
+            return 0.0
+        z = float(np.dot(self.weights, [1.0, *self.features(text)]))
+        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+
+
+def trained(rows: list[tuple[int | None, str | None, int]]) -> Model:
+    """rows: identifier, text, label of a bounded sample; even hashes train the dictionaries, odd ones calibrate."""
+    odd = [hashlib.md5(str(i).encode()).digest()[0] & 1 for i, _, _ in rows]
+    by = {y: [t for (_, t, label), o in zip(rows, odd) if label == y and not o] for y in (0, 1)}
+    check = [(t, y) for (_, t, y), o in zip(rows, odd) if o]
+    if not by[0] or not by[1] or len({y for _, y in check}) < 2:
+        return Model()
+    seen = {y: Counter(w for t in by[y] for w in set(t.lower().encode().split())) for y in (0, 1)}
+    share = len(by[1]) / (len(by[0]) + len(by[1]))
+    marks = []
+    for w, n in seen[1].items():
+        m = seen[0][w]
+        g = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0))
+        if g >= G_TEST and n / len(by[1]) >= LIFT * m / len(by[0]):
+            marks.append(w)
+    # Copies of one text bring its words in the same places each time: a mark must follow about as many words as there are rows with it.
+    after: dict[bytes, set[bytes]] = {w: set() for w in marks}
+    for t in by[1]:
+        words = t.lower().encode().split()
+        for u, w in zip([b"", *words], words):
+            if w in after:
+                after[w].add(u)
+    marks = [w for w in marks if 2 * len(after[w]) >= seen[1][w]]
+    marks.sort(key=lambda w: (seen[1][w], w))
+    toxic = b" ".join(marks)[-DICTIONARY:]
+    samples = [w for t in by[0] for w in windows(t)]
+    step = max(1, len(samples) * 80 // (DICTIONARY * 40))
+    try:
+        ordinary = zstandard.train_dictionary(DICTIONARY, samples[::step], level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too few samples to choose from: they are the dictionary
+        ordinary = b"".join(samples)[-DICTIONARY:]
+    model = Model(ordinary, b" " + toxic + b" ")
+    plain = np.concatenate([model.distances(t) for t, y in check if not y])
+    model.theta = float(np.quantile(plain, QUANTILE)) if len(plain) else 0.0
+    x = np.array([[1.0, *model.features(t)] for t, _ in check])
+    y = np.array([label for _, label in check], dtype=float)
+    weights = np.zeros(x.shape[1])
+    for _ in range(50):  # Newton steps with a ridge
+        p = 1 / (1 + np.exp(-x @ weights))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(weights))
+        step_ = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * weights)
+        weights += step_
+        if np.abs(step_).max() < 1e-8:
+            break
+    model.weights = weights
+    # Move the curve so that the threshold is where the two labels are told apart best.
+    z = np.sort(x @ weights)
+    cuts = np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))
+    right = [(((x @ weights) >= c) == (y > 0.5)).mean() for c in cuts]
+    best = np.flatnonzero(np.array(right) == max(right))
+    model.weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - cuts[best[len(best) // 2]]
+    return model
+
+
+def fit(df: DataFrame, sample: int = SAMPLE) -> Model:
+    """df: doc_id, text, toxic (0 or 1) of the rows to learn from; about `sample` rows per label are read."""
+    rows = sampled(df.where("text IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "doc_id", "toxic", sample)
+    return trained(sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator()), key=lambda r: (r[0] is None, r)))
+
+
+def score(df: DataFrame, model: Model) -> DataFrame:
+    """df: doc_id, text and others; adds score and predicted to every column but text."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in df.columns if c != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), "score double, predicted int"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            scores = [sent.value.score(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            columns = [b.column(b.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())], [*kept, "score", "predicted"])
+
+    return df.select(*[F.col(f"`{c}`") for c in [*kept, "text"]]).mapInArrow(run, schema)
