@@ -34,8 +34,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = langid.bucket(F.col("doc_id"), 3) == 1
-    learned = docs.where(~held_out).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), toxicity.fit(learned))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

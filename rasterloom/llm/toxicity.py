@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import small_side
 from rasterloom.llm.langid import sampled
 from rasterloom.llm.words import slices
 
@@ -128,9 +129,10 @@ def trained(rows: list[tuple[int | None, str | None, int]]) -> Model:
     return model
 
 
-def fit(df: DataFrame, sample: int = SAMPLE) -> Model:
-    """df: doc_id, text, toxic (0 or 1) of the rows to learn from; about `sample` rows per label are read."""
-    rows = sampled(df.where("text IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "doc_id", "toxic", sample)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1) of the rows to learn from. Labels are sampled before texts are looked at."""
+    chosen = sampled(labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id", "toxic", sample)
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(small_side(chosen), "doc_id")
     return trained(sorted(((r["doc_id"], r["text"], r["toxic"]) for r in rows.toLocalIterator()), key=lambda r: (r[0] is None, r)))
 
 
