@@ -69,10 +69,6 @@ def _prefix_sql(n: str, percent: int) -> str:
     return f"least({n}, {n} - ({percent} * {n} + 99) DIV 100 + 1 + {n} DIV 10)"
 
 
-def _in_common_sql(n: str, m: str, percent: int) -> str:
-    return f"({percent} * ({n} + {m}) + {99 + percent}) DIV {100 + percent} - greatest({n} - {_prefix_sql(n, percent)}, {m} - {_prefix_sql(m, percent)})"
-
-
 class _Postings:
     """Gathers (token, class, size, position) and emits them packed by bucket: at most two of a token go to its bucket, which shows
     there that it is shared; further ones are known to be shared and are dealt anywhere. So no bucket gets a hot token's whole list."""
@@ -205,10 +201,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = materialise(shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "marked")
     mixed = marked.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     open_ = marked.join(mixed, "token", "left_semi")
-    x, y = open_.select("token", "cls", "n", "component"), open_.selectExpr("token", "cls AS cls2", "n AS m", "component AS component2")
-    met = x.join(y, "token").where("cls < cls2 AND component != component2 AND " + _SIZES.format(n="n", m="m", p=percent))
-    rest = met.groupBy("cls", "cls2", "n", "m").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= {_in_common_sql('n', 'm', percent)}")
-    more = materialise(_verified(_pairs(rest).join(stars, ["a", "b"], "left_anti"), whole, percent), "links")
+    x, y = open_.select("token", "cls", "n", "pos", "component"), open_.selectExpr("token", "cls AS cls2", "n AS m", "pos AS pos2", "component AS component2")
+    # The first token in common is where both sets have room for the overlap from there on; later ones say nothing new.
+    room = f"{100 + percent} * least(n - pos, m - pos2) >= {percent} * (n + m)"
+    met = x.join(y, "token").where("cls < cls2 AND component != component2 AND " + _SIZES.format(n="n", m="m", p=percent) + " AND " + room)
+    rest = _pairs(met).distinct()
+    more = materialise(_verified(rest.join(stars, ["a", "b"], "left_anti"), whole, percent), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
     named = reps.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
