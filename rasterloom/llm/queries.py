@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, exact, langid, ngram_join, sharding, toxicity, warc
+from rasterloom.llm import bpe, exact, kneser_ney, langid, ngram_join, sharding, toxicity, warc
 from rasterloom.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_rows(manifest).withColumnRenamed("id", "page_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.bucket(F.col("doc_id"), 5) == 0
@@ -48,6 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
