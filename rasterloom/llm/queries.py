@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, exact, kneser_ney, langid, ngram_join, sharding, toxicity, warc
+from rasterloom.llm import bpe, exact, kneser_ney, langid, ngram_join, sharding, substring, toxicity, warc
 from rasterloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_substring": op5_substring,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_toxicity": op8_toxicity,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op5_substring": substring.ORACLE,
     "op6_exact_dedup": exact.ORACLE,
     "op9_ngram_join": ngram_join.ORACLE,
 }
