@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, exact, kneser_ney, langid, ngram_join, sharding, substring, toxicity, warc
+from rasterloom.llm import bpe, decontam, exact, kneser_ney, langid, ngram_join, sharding, substring, toxicity, warc
 from rasterloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_rows(manifest).withColumnRenamed("id", "page_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
@@ -57,6 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_decontamination": op2_decontamination,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_substring": op5_substring,
