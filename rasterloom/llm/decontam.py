@@ -48,8 +48,8 @@ def _blocks(radius: int) -> str:
     return "array(" + ", ".join(f"struct({i} AS no, shiftrightunsigned(print, {a}) & {(1 << (b - a)) - 1}L AS value)" for i, (a, b) in enumerate(zip(ends, ends[1:]))) + ")"
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """One row per document and item in it: doc_id, item_id, start_shingle, n_shingles, similarity (of the best window)."""
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, with_content: bool = False) -> DataFrame:
+    """One row per document and item in it: doc_id, item_id, start_shingle, n_shingles, similarity (of the best window), and content, a hash of the text, if asked for."""
     given = items.selectExpr(f"`{item_col}` AS item_id", f"`{item_text}` AS item")
     item = materialise(shingled(given, "item", "item_id").withColumn("m", F.size("sh")).withColumn("no", F.monotonically_increasing_id()), "items")
     rows = item.selectExpr("no", "m", "explode(sh) AS h")
@@ -73,7 +73,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     full = pairs.join(windows.withColumnsRenamed({"doc_id": "id2", "content": "content2", "m": "m2", "s": "s2"}), F.expr("doc_id <=> id2 AND content = content2 AND m = m2 AND s = s2")).join(small_side(prints.select("no", "item_id", "sh")), "no")
     # Numbering the occurrences of a shingle makes a set of a multiset.
     numbered = lambda a: f"if(size(array_distinct({a})) = size({a}), transform({a}, x -> xxhash64(x, 0)), transform({a}, (x, i) -> xxhash64(x, size(filter(slice({a}, 1, i), y -> y = x)))))"
-    sets = full.selectExpr("doc_id", "item_id", "no", "m", "s", f"{numbered('part')} AS a", f"{numbered('sh')} AS b").withColumn("common", F.expr("size(array_intersect(a, b))"))
+    sets = full.selectExpr("doc_id", "content", "item_id", "no", "m", "s", f"{numbered('part')} AS a", f"{numbered('sh')} AS b").withColumn("common", F.expr("size(array_intersect(a, b))"))
     verified = sets.withColumn("similarity", F.expr("common / (2 * m - common)")).where(F.col("similarity") >= similarity)
-    best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", F.expr("-s AS before"), "m")).alias("best"))
-    return best.selectExpr("doc_id", "item_id", "-best.before AS start_shingle", "best.m AS n_shingles", "best.similarity")
+    keys = ["doc_id", "item_id", *(["content"] if with_content else [])]
+    best = verified.groupBy(*keys).agg(F.max(F.struct("similarity", F.expr("-s AS before"), "m")).alias("best"))
+    return best.selectExpr(*keys, "-best.before AS start_shingle", "best.m AS n_shingles", "best.similarity")

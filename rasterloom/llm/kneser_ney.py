@@ -199,11 +199,11 @@ def perplexities(df: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """docs: doc_id, text, lang; trusted: doc_id of the trusted ones. One row per document: doc_id, lang, n_tokens, perplexity, threshold, kept."""
+    """docs: doc_id, text, lang; trusted: doc_id of the trusted ones. One row per document: doc_id, content (hash of the text), lang, n_tokens, perplexity, threshold, kept."""
     ids = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     ids = small_side(ids)
     model = fit(docs.join(ids, "doc_id", "left_semi"))
-    scored = materialise(perplexities(docs.join(ids, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted")), model), "perplexity")
+    scored = materialise(perplexities(docs.join(ids, "doc_id", "left").select("doc_id", F.xxhash64("text").alias("content"), "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted")), model), "perplexity")
     usual = scored.where("trusted").agg(F.sum(F.col("n_tokens") * F.log("perplexity")) / F.sum("n_tokens")).first()[0] or 0.0
     smooth = F.exp((F.col("n_tokens") * F.log("perplexity") + PRIOR * F.lit(usual)) / (F.col("n_tokens") + PRIOR))
     scored = scored.withColumn("perplexity", smooth)
@@ -213,5 +213,5 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, sl
     overall = good.agg(cut).first()[0]
     limit = F.coalesce(F.col("own"), F.lit(overall).cast("double"))
     return scored.join(small_side(own), "lang", "left").select(
-        "doc_id", "lang", "n_tokens", "perplexity", limit.alias("threshold"), (F.col("perplexity").isNotNull() & (limit.isNull() | (F.col("perplexity") <= limit))).alias("kept")
+        "doc_id", "content", "lang", "n_tokens", "perplexity", limit.alias("threshold"), (F.col("perplexity").isNotNull() & (limit.isNull() | (F.col("perplexity") <= limit))).alias("kept")
     )

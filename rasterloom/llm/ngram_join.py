@@ -156,16 +156,16 @@ def _shared(packed: DataFrame, buckets: int, positions: bool) -> DataFrame:
     return packed.repartition(buckets, "bucket").mapInArrow(run, "token long, cls long, n long, pos long")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included)."""
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, with_content: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included), and content, a hash of the text, if asked for."""
     spark = df.sparkSession
     buckets = 2 * partitions(spark)
-    docs = df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
+    docs = df.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"`{text_col}` AS text", f"xxhash64(`{text_col}`) AS content")
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             got = [(len(x), int(class_of(x).view(np.int64)) if len(x) else None) for x in sets_of(b.column(1), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([c for _, c in got], pa.int64())], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n for n, _ in got], pa.int64()), pa.array([c for _, c in got], pa.int64())], ["doc_id", "content", "n_shingles", "cls"])
 
     def first_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post = _Postings(buckets, positions=False)
@@ -175,7 +175,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     yield from post.flush()
         yield from post.flush()
 
-    rows = materialise(docs.mapInArrow(classes, "doc_id long, n_shingles long, cls long"), "classes")
+    rows = materialise(docs.mapInArrow(classes, "doc_id long, content long, n_shingles long, cls long"), "classes")
     reps = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(first_order, "bucket long, shared boolean, packed binary")
     enough = f"shared >= {_prefix_sql('n', percent)} - (n - ({percent} * n + 99) DIV 100)"
@@ -213,7 +213,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = named.join(least, "component").select("cls", "component_id")
     out = rows.join(of_class, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", *(["content"] if with_content else []), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 _SIZES = "100 * least({n}, {m}) >= {p} * greatest({n}, {m})"

@@ -22,7 +22,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted).drop("content")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
