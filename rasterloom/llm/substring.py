@@ -208,7 +208,9 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
 
     where = materialise(docs.mapInArrow(regions, "doc_id long, content long, anchor long, region long, start int, n int"), "regions")
     of_anchor = where.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("region").alias("least"), F.max("region").alias("most")).where("times > 1")
-    again = materialise(where.join(of_anchor.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "anchor"), "again")
+    # Written first, so that the join's sides are plain shuffles, of which Spark can split a hot k-gram's.
+    of_anchor = materialise(of_anchor.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "repeated")
+    again = materialise(where.join(of_anchor, "anchor"), "again")
     full = F.expr("shiftleft(1L, n) - 1")
     same = again.where("NOT mixed").select("doc_id", "content", "start", full.alias("mask"))
 
@@ -267,7 +269,7 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
     single = parts.where("words IS NULL").dropDuplicates(["anchor", "region"]).selectExpr("anchor", "region", "copies", "posexplode(arrays_zip(x, y)) AS (i, w)").selectExpr("anchor", "region", "copies", "i", "w.x", "w.y")
     often = single.groupBy("anchor", "x", "y").agg(F.sum("copies").alias("times")).where("times > 1").drop("times")
     by_window = single.join(often, ["anchor", "x", "y"], "left_semi").groupBy("anchor", "region").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    masks = by_automaton.unionByName(by_window)
+    masks = materialise(by_automaton.unionByName(by_window), "masks")
     mixed = again.where("mixed").join(masks, ["anchor", "region"]).where("mask != 0").select("doc_id", "content", "start", "mask")
     return same.unionByName(mixed)
 
