@@ -1,7 +1,8 @@
 """Exact dedup by a content sort, in DataFrame operations only.
 
-Rows are range-partitioned by sampled splitters of their normalised text, sorted (externally, where memory is short),
-and equal texts stand next to each other; the window's full comparison of neighbours tells where a group ends. A text
+Rows are range-partitioned by sampled splitters of their normalised text (of its first PREFIX characters and a hash of
+the rest, so that samples stay small and texts with a common beginning are spread), sorted (externally, where memory is
+short), and equal texts stand next to each other; the window's full comparison of neighbours tells where a group ends. A text
 that more rows have than a part of the table's partitions should hold is dealt into several neighbouring runs, whose
 few winners are compared afterwards.
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, partitions
 
+PREFIX = 48
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -47,10 +49,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         base.withColumn("h", F.xxhash64("norm"))
         .join(F.broadcast(hot), "h", "left")
         .withColumn("run", F.when(F.col("runs").isNotNull(), F.pmod(F.xxhash64("doc_id", "points"), "runs")).otherwise(F.lit(0)))
-        .drop("h")
-        .repartitionByRange(n, "norm", "run")
+        .withColumn("begin", F.substring("norm", 1, PREFIX))
+        .repartitionByRange(n, "begin", "h", "run")
     )
-    same = Window.partitionBy("norm", "run")
+    same = Window.partitionBy("begin", "h", "run", "norm")
     order = same.orderBy(F.col("points").desc(), F.col("doc_id").asc_nulls_last())
     runs = dealt.select(
         "doc_id",
