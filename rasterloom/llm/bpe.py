@@ -24,7 +24,7 @@ from rasterloom.llm.words import slices
 #: The byte-level pattern of the vocabulary's pre-tokenizer (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker remembers, and the longest word (bytes) among them.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 LONGEST = 64
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import materialise, new_folder, small_side
 from rasterloom.llm.words import buffers, signed, slices
 
-#: Order of the model, n-grams a task gathers before it merges their counts, rows of a shard.
-ORDER, GATHER, SHARD = 5, 4_000_000, 4_000_000
+#: Order of the model, n-grams a task gathers before it merges their counts, rows of a shard, bytes of text worked off at once.
+ORDER, GATHER, SHARD, SLICE = 5, 1_000_000, 4_000_000, 1 << 19
 #: Quantile and slack of the thresholds, the trusted documents that a language needs for one of its own, and the tokens of average text.
 QUANTILE, SLACK, ENOUGH, PRIOR = 0.99, 1.5, 50, 30
 _SPACE = np.arange(256, dtype=np.uint8)
@@ -58,7 +58,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             parts.append(np.unique(ngrams(*buffers(b.column(0))), return_counts=True))
             if sum(len(k) for k, _ in parts) > GATHER:
                 parts = [merge(parts)]
@@ -187,7 +187,7 @@ def perplexities(df: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), "n_tokens long, perplexity double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             raw, offsets = buffers(b.column(b.schema.get_field_index("text")))
             total = np.concatenate(([0.0], np.cumsum(sent.value.log_probabilities(ngrams(raw, offsets)))))
             n = np.diff(offsets)

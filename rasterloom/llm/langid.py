@@ -29,7 +29,7 @@ from rasterloom.llm.common import materialise
 from rasterloom.llm.words import slices
 
 #: Longest and shortest n-grams, labelled rows per language, entries per language and kind, words a worker remembers.
-NGRAMS, SAMPLE, VOCABULARY, REMEMBERED = (4, 3, 2, 1), 3000, 50_000, 300_000
+NGRAMS, SAMPLE, VOCABULARY, REMEMBERED = (4, 3, 2, 1), 3000, 50_000, 150_000
 WORD = r"[^\W\d_]+"
 
 
