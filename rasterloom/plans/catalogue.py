@@ -1,4 +1,468 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries over the driver's star-schema tables, each with the SQL that must give the same rows.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The tables stand in for observations: lineitem's parts are pixels and its ship dates acquisition times, events are
+sparse observations with true timestamps, orders are scenes with properties, embeddings are 8 by 8 raster blocks, and
+part's keys make a 64-column grid.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterloom.functions import grid, masks
+from rasterloom.functions import indices as ix
+from rasterloom.operators import bands as band_ops
+from rasterloom.operators import blocks, scenes, tiles
+from rasterloom.operators import composite as comp
+from rasterloom.operators import windows as win
+from rasterloom.sources import manifest as man
+from rasterloom.sources import registry, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("px"), F.col("l_shipdate").alias("acquired_at"), F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("source"),
+        F.col("l_extendedprice").alias("nir"), F.col("l_quantity").alias("red"), F.col("l_tax").alias("green"), F.col("l_discount").alias("blue"), F.col("l_linenumber").alias("qa"),
+    )
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("scene_id"), F.col("ts").alias("acquired_at"), "user_id", "event_type", "value")
+
+
+# Composites ---------------------------------------------------------------------------------------------------------
+ORDER = ("acquired_at", "scene_id", "line", "source", "nir", "red")
+SQL_ORDER = "row(l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity)"
+CLEAR = "(l_linenumber & 4) = 0"
+
+
+def clear(df: DataFrame) -> DataFrame:
+    return masks.apply_mask(df, F.col("qa").bitwiseAND(4) == 0, ["nir", "red"])
+
+
+@query("nd_month_median", f"""
+SELECT px, month, nir, red, round((nir - red) / nullif(nir + red, 0), 6) + 0.0 AS ndvi FROM (
+  SELECT l_partkey AS px, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
+         median(CASE WHEN {CLEAR} THEN l_extendedprice END) AS nir, median(CASE WHEN {CLEAR} THEN l_quantity END) AS red
+  FROM lineitem GROUP BY 1, 2)""")
+def nd_month_median(spark, sf_dir):
+    df = clear(pixels(spark, sf_dir)).withColumn("month", win.calendar_key(F.col("acquired_at"), "calendar_month"))
+    return comp.composite(df, ["px", "month"], ["nir", "red"], "median").withColumn("ndvi", F.round(ix.nd(F.col("nir"), F.col("red")), 6))
+
+
+@query("composite_mean_year", f"""
+SELECT l_partkey AS px, CAST(date_trunc('year', l_shipdate) AS DATE) AS year, round(avg(CASE WHEN {CLEAR} THEN l_extendedprice END), 4) + 0.0 AS nir,
+       round(avg(CASE WHEN {CLEAR} THEN l_quantity END), 6) + 0.0 AS red FROM lineitem GROUP BY 1, 2""")
+def composite_mean_year(spark, sf_dir):
+    df = clear(pixels(spark, sf_dir)).withColumn("year", win.calendar_key(F.col("acquired_at"), "calendar_year"))
+    return comp.composite(df, ["px", "year"], ["nir", "red"], "mean").select("px", "year", F.round("nir", 4).alias("nir"), F.round("red", 6).alias("red"))
+
+
+def _mosaic(latest: bool):
+    def run(spark, sf_dir):
+        df = clear(pixels(spark, sf_dir)).withColumn("year", win.calendar_key(F.col("acquired_at"), "calendar_year"))
+        return comp.composite(df, ["year", "px"], ["nir", "red"], "mosaic", ORDER, latest)
+
+    return run
+
+
+# Rank by every column, so that masked copies of the order's columns don't matter.
+def _mosaic_sql(f: str) -> str:
+    pick = lambda c: f"{f}({c}, {SQL_ORDER}) FILTER (WHERE {CLEAR})"
+    return f"SELECT CAST(date_trunc('year', l_shipdate) AS DATE) AS year, l_partkey AS px, {pick('l_extendedprice')} AS nir, {pick('l_quantity')} AS red FROM lineitem GROUP BY 1, 2"
+
+
+query("composite_mosaic_last", _mosaic_sql("arg_max"))(_mosaic(True))
+query("composite_mosaic_first", _mosaic_sql("arg_min"))(_mosaic(False))
+
+
+@query("composite_none_scene", """
+WITH f AS (SELECT date_trunc('month', l_shipdate) AS m, min(row(l_shipdate, l_orderkey)) AS r FROM lineitem GROUP BY 1)
+SELECT CAST(f.m AS DATE) AS month, l_partkey AS px, l_extendedprice AS nir FROM lineitem l JOIN f ON date_trunc('month', l.l_shipdate) = f.m AND row(l.l_shipdate, l.l_orderkey) = f.r""")
+def composite_none_scene(spark, sf_dir):
+    df = pixels(spark, sf_dir).withColumn("month", win.calendar_key(F.col("acquired_at"), "calendar_month"))
+    return comp.composite(df, ["month", "px"], ["nir"], "none", ("acquired_at", "scene_id"))
+
+
+@query("strategy_override")
+def strategy_override(spark, sf_dir):
+    rows = [(s, w, comp.effective_strategy(w, registry.get(s).composite_strategy_override)) for s in registry.list_slugs() for w in comp.STRATEGIES]
+    return spark.createDataFrame(rows, "slug string, wanted string, effective string")
+
+
+# Masks and filters --------------------------------------------------------------------------------------------------
+def _mask(name: str, column: str, sql_column: str, valid, sql_valid: str) -> None:
+    @query(name, f"SELECT {sql_column} AS code, count(*) AS n, count(CASE WHEN {sql_valid} THEN l_quantity END) AS n_valid FROM lineitem GROUP BY 1")
+    def run(spark, sf_dir):
+        df = read(spark, sf_dir, "lineitem").select(F.expr(column).alias("code"), F.col("l_quantity").alias("band"))
+        return masks.apply_mask(df, valid(F.col("code")), ["band"]).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count("band").alias("n_valid"))
+
+
+_QA, _SCL = "(l_linenumber - 1) * 16", "l_partkey % 12"
+_mask("mask_qa_bits", _QA, _QA, masks.by_bits, f"(({_QA}) & 31) = 0")
+_mask("mask_qa_snow", _QA, _QA, lambda c: masks.by_bits(c, snow=True), f"(({_QA}) & 63) = 0")
+_mask("mask_qa_no_shadow", _QA, _QA, lambda c: masks.by_bits(c, shadow=False), f"(({_QA}) & 15) = 0")
+_mask("mask_class_default", _SCL, _SCL, masks.by_class, f"({_SCL}) NOT IN (0, 1, 3, 8, 9, 10)")
+_mask("mask_class_no_shadow", _SCL, _SCL, lambda c: masks.by_class(c, shadow=False), f"({_SCL}) NOT IN (0, 1, 8, 9, 10)")
+_mask("mask_class_snow", _SCL, _SCL, lambda c: masks.by_class(c, snow=True), f"({_SCL}) NOT IN (0, 1, 3, 8, 9, 10, 11)")
+
+
+@query("filter_date_halfopen", "SELECT l_shipdate AS d, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1")
+def filter_date_halfopen(spark, sf_dir):
+    return comp.date_filter(pixels(spark, sf_dir), date(1997, 1, 1), date(1998, 1, 1)).groupBy(F.col("acquired_at").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("filter_bounds_bbox", """
+SELECT p_partkey AS px FROM part WHERE (p_partkey % 64) * 10 <= 200 AND (p_partkey % 64) * 10 + 10 >= 95 AND (p_partkey // 64) * 10 <= 150 AND (p_partkey // 64) * 10 + 10 >= 45""")
+def filter_bounds_bbox(spark, sf_dir):
+    df = read(spark, sf_dir, "part").selectExpr("p_partkey AS px", "p_partkey % 64 * 10 AS minx", "p_partkey DIV 64 * 10 AS miny").selectExpr("*", "minx + 10 AS maxx", "miny + 10 AS maxy")
+    return comp.bounds_filter(df, 95, 45, 200, 150).select("px")
+
+
+@query("filter_property_eq", "SELECT o_orderkey AS scene_id, o_orderdate AS acquired_at FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+def filter_property_eq(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS scene_id", "o_orderdate AS acquired_at", "map('status', o_orderstatus, 'priority', o_orderpriority) AS props")
+    return comp.property_filter(df, [("status", "F"), ("priority", "1-URGENT")]).select("scene_id", "acquired_at")
+
+
+@query("pinned_scenes", "SELECT l_orderkey AS scene_id, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
+def pinned_scenes(spark, sf_dir):
+    ids = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("scene_id"))
+    return comp.pinned(pixels(spark, sf_dir), ids).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("clip_polygon", """
+SELECT p_partkey AS px, CASE WHEN (p_partkey % 64 + 0.5) + (p_partkey // 64 + 0.5) < 40.25 THEN p_retailprice END AS band FROM part""")
+def clip_polygon(spark, sf_dir):
+    df = read(spark, sf_dir, "part").selectExpr("p_partkey AS px", "p_partkey % 64 + 0.5D AS x", "p_partkey DIV 64 + 0.5D AS y", "p_retailprice AS band")
+    inside = tiles.inside_polygon([[[(0.0, 0.0), (40.25, 0.0), (0.0, 40.25)]]], F.col("x"), F.col("y"))
+    return tiles.clip(df, ["band"], inside).select("px", "band")
+
+
+# Windows ------------------------------------------------------------------------------------------------------------
+JANUARY = (date(2024, 1, 1), date(2024, 1, 31))
+
+
+def _windows(name: str, sql: str, *args, **more) -> None:
+    query(name, sql)(lambda spark, sf_dir: win.windows_df(spark, win.generate_windows(*args, **more)).select("w_start", "w_end", "label"))
+
+
+def _fixed(start: str, end: str, size: int, step: int) -> str:
+    return f"""SELECT CAST(d AS DATE) AS w_start, CAST(d + INTERVAL {size - 1} DAY AS DATE) AS w_end, strftime(d, '%Y-%m-%d') AS label
+FROM generate_series(TIMESTAMP '{start}', TIMESTAMP '{end}' - INTERVAL {size - 1} DAY, INTERVAL {step} DAY) t(d)"""
+
+
+_windows("win_full_range", "SELECT DATE '2023-01-15' AS w_start, DATE '2023-06-30' AS w_end, '2023-01-15' AS label", date(2023, 1, 15), date(2023, 6, 30), "full_range")
+_windows("win_month_clip", """SELECT CAST(greatest(d, TIMESTAMP '2023-01-15') AS DATE) AS w_start, CAST(least(last_day(d), DATE '2023-03-30') AS DATE) AS w_end, strftime(d, '%Y-%m') AS label
+FROM generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2023-03-01', INTERVAL 1 MONTH) t(d)""", date(2023, 1, 15), date(2023, 3, 30), "calendar_month", label_format="%Y-%m")
+_windows("win_year_clip", """SELECT CAST(greatest(d, TIMESTAMP '2022-06-01') AS DATE) AS w_start, CAST(least(d + INTERVAL 1 YEAR - INTERVAL 1 DAY, TIMESTAMP '2024-04-01') AS DATE) AS w_end, strftime(d, '%Y') AS label
+FROM generate_series(TIMESTAMP '2022-01-01', TIMESTAMP '2024-01-01', INTERVAL 1 YEAR) t(d)""", date(2022, 6, 1), date(2024, 4, 1), "calendar_year", label_format="%Y")
+_windows("win_fixed_tumbling", _fixed("2023-01-15", "2023-06-30", 40, 40), date(2023, 1, 15), date(2023, 6, 30), "fixed_days", 40)
+_windows("win_fixed_sliding", _fixed("2023-01-01", "2023-03-31", 30, 10), date(2023, 1, 1), date(2023, 3, 31), "fixed_days", 30, 10)
+_windows("win_fixed_gapped", _fixed("2023-01-01", "2023-06-30", 10, 30), date(2023, 1, 1), date(2023, 6, 30), "fixed_days", 10, 30)
+
+
+@query("win_anchor_labels", "SELECT * FROM (VALUES ('start', '2023-01-01'), ('end', '2023-01-31'), ('center', '2023-01-16')) t(anchor, label)")
+def win_anchor_labels(spark, sf_dir):
+    return spark.createDataFrame([(a, win.generate_windows(date(2023, 1, 1), date(2023, 1, 31), "full_range", anchor=a)[0].label) for a in ("start", "end", "center")], "anchor string, label string")
+
+
+_SLIDING = "SELECT CAST(d AS DATE) AS w_start, CAST(d + INTERVAL 9 DAY AS DATE) AS w_end FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31' - INTERVAL 9 DAY, INTERVAL 5 DAY) t(d)"
+
+
+@query("window_interval_join", f"""
+SELECT w_start, user_id, count(*) AS n, median(value) AS value FROM events JOIN ({_SLIDING}) w ON CAST(ts AS DATE) >= w_start AND CAST(ts AS DATE) < w_end GROUP BY 1, 2""")
+def window_interval_join(spark, sf_dir):
+    table = win.windows_df(spark, win.generate_windows(*JANUARY, "fixed_days", 10, 5))
+    return win.join_windows(observations(spark, sf_dir), table).groupBy("w_start", "user_id").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("value"))
+
+
+@query("window_ordinals", f"""
+SELECT w_start, user_id, count(*) AS n, median(value) AS value FROM events JOIN ({_SLIDING}) w ON CAST(ts AS DATE) BETWEEN w_start AND w_end GROUP BY 1, 2""")
+def window_ordinals(spark, sf_dir):
+    return win.with_ordinals(observations(spark, sf_dir), *JANUARY, 10, 5).groupBy("w_start", "user_id").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("value"))
+
+
+# Projections --------------------------------------------------------------------------------------------------------
+def band_table(spark, sf_dir, dataset: str) -> DataFrame:
+    """The median of each pixel under the band names of a dataset."""
+    if dataset.startswith("sentinel-1"):
+        cols = {"VV": "l_discount", "VH": "l_tax"}
+    else:
+        of = ix.BANDS[dataset]
+        cols = {of["nir"]: "l_extendedprice", of["red"]: "l_quantity", of["green"]: "l_tax", of["blue"]: "l_discount", of["swir1"]: "l_suppkey", of["swir2"]: "l_linenumber"}
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("px")).agg(*[F.median(F.col(c).cast("double")).alias(b) for b, c in cols.items()])
+
+
+_OPTICAL = "SELECT l_partkey AS px, median(l_extendedprice) AS nir, median(l_quantity) AS red, median(l_tax) AS green, median(l_discount) AS blue, median(CAST(l_suppkey AS DOUBLE)) AS swir1, median(CAST(l_linenumber AS DOUBLE)) AS swir2 FROM lineitem GROUP BY 1"
+_RADAR = "SELECT l_partkey AS px, median(l_discount) AS vv, median(l_tax) AS vh FROM lineitem GROUP BY 1"
+
+
+def _index(name: str, dataset: str, *formulas: str) -> None:
+    made = ix.get(name, dataset).outputs
+    parts = ", ".join((f"round({f}, 6) + 0.0 AS {o}" if "CASE" not in f else f"{f} AS {o}") for o, f in zip(made, formulas))
+
+    @query(f"idx_{name.lower()}", f"SELECT px, {parts} FROM ({_RADAR if dataset.startswith('sentinel-1') else _OPTICAL})")
+    def run(spark, sf_dir):
+        df = ix.apply_indices(band_table(spark, sf_dir, dataset), [name], dataset)
+        return df.select("px", *[F.round(o, 6).alias(o) if dict(df.dtypes)[o] == "double" else F.col(o) for o in made])
+
+
+for _n, _a, _b in (("NDVI", "nir", "red"), ("NDWI", "green", "nir"), ("NDMI", "nir", "swir1"), ("NBR", "nir", "swir2"), ("NDSI", "green", "swir1")):
+    _index(_n, "landsat-8", f"({_a} - {_b}) / nullif({_a} + {_b}, 0)")
+_index("EVI", "sentinel-2", "2.5 * ((nir - red) / nullif(nir + 6 * red - 7.5 * blue + 1, 0))")
+_index("SAVI", "landsat-7", "(nir - red) / nullif(nir + red + 0.5, 0) * 1.5")
+_index("OSI", "sentinel-2", "(green + red) / nullif(blue, 0)")
+_index("BSI", "landsat-9", "((swir1 + red) - (nir + blue)) / nullif((swir1 + red) + (nir + blue), 0)")
+_index("RVI", "sentinel-1", "4 * vh / nullif(vv + vh, 0)")
+_index("VV_VH_RATIO", "sentinel-1", "vv - vh")
+_index("WATER_S1", "sentinel-1-rtc", "CAST(CASE WHEN vv < 0.02 AND vh < 0.0063 THEN 1 ELSE 0 END AS INTEGER)")
+_index("RGB_RATIO", "sentinel-1-rtc", "vv", "vh", "vh / nullif(vv, 0)")
+_index("SAR_URBAN", "sentinel-1-rtc", "vv", "2 * vh", "vv / nullif(vh, 0) / 100")
+
+
+@query("scale_offset", "SELECT px, round(nir * 2.75e-5 + -0.2, 6) + 0.0 AS SR_B5, round(red * 2.75e-5 + -0.2, 6) + 0.0 AS SR_B4 FROM (" + _OPTICAL + ")")
+def scale_offset(spark, sf_dir):
+    df, _ = band_ops.project(band_table(spark, sf_dir, "landsat-8"), registry.get("landsat-8"), ["SR_B5", "SR_B4"], keys=["px"])
+    return df.select("px", F.round("SR_B5", 6).alias("SR_B5"), F.round("SR_B4", 6).alias("SR_B4"))
+
+
+@query("band_order_rename", """
+SELECT px, round((nir - red) / nullif(nir + red, 0), 6) + 0.0 AS index, nir AS near, red AS B4, round((green - nir) / nullif(green + nir, 0), 6) + 0.0 AS water FROM (""" + _OPTICAL + ")")
+def band_order_rename(spark, sf_dir):
+    entries = [{"name": "NDVI", "output_band": "index", "position": "before_bands"}, {"name": "NDWI", "output_band": "water", "position": "after_bands"}]
+    df, _ = band_ops.project(band_table(spark, sf_dir, "sentinel-2"), registry.get("sentinel-2"), ["B4", "B8"], ["B8", "B4"], {"B8": "near"}, entries, scale=1.0, keys=["px"])
+    return df.withColumns({"index": F.round("index", 6), "water": F.round("water", 6)})
+
+
+@query("unmask_fill", f"SELECT l_partkey AS px, l_orderkey AS scene_id, l_linenumber AS line, CASE WHEN {CLEAR} THEN l_quantity ELSE -9999.0 END AS red FROM lineitem")
+def unmask_fill(spark, sf_dir):
+    return comp.unmask(clear(pixels(spark, sf_dir)), ["red"], -9999.0).select("px", "scene_id", "line", "red")
+
+
+@query("cast_int16", "SELECT l_orderkey AS scene_id, l_linenumber AS line, CASE WHEN trunc(l_extendedprice) <= 32767 THEN CAST(trunc(l_extendedprice) AS SMALLINT) END AS nir FROM lineitem")
+def cast_int16(spark, sf_dir):
+    return blocks.cast_bands(pixels(spark, sf_dir).select("scene_id", "line", "nir"), ["nir"], "int16")
+
+
+@query("split_by_index", """
+SELECT px, 'nir' AS band, nir AS value FROM (""" + _OPTICAL + ") UNION ALL SELECT px, 'red', red FROM (" + _OPTICAL + ")")
+def split_by_index(spark, sf_dir):
+    df = band_table(spark, sf_dir, "sentinel-2").select("px", F.col("B8").alias("nir"), F.col("B4").alias("red"))
+    return blocks.by_band(df, ["px"], ["nir", "red"])
+
+
+# Scenes -------------------------------------------------------------------------------------------------------------
+def timed(spark, sf_dir) -> DataFrame:
+    return observations(spark, sf_dir).withColumn("time_start_ms", F.unix_millis(F.col("acquired_at").cast("timestamp")))
+
+
+VALID = "event_type NOT IN ('error', 'signup')"
+_EVENT_DAYS = "SELECT DISTINCT CAST(ts AS DATE) AS d FROM events"
+_USERS = f"SELECT CAST(ts AS DATE) AS d, user_id, avg(CASE WHEN {VALID} THEN 1 ELSE 0 END) AS coverage FROM events GROUP BY 1, 2"
+
+
+@query("scene_enumerate", "SELECT CAST(event_id AS VARCHAR) AS scene_id, CAST(ts AS DATE) AS d, epoch_us(ts) // 1000 AS time_start_ms FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-13'")
+def scene_enumerate(spark, sf_dir):
+    return scenes.enumerate_scenes(timed(spark, sf_dir), date(2024, 1, 5), date(2024, 1, 12))
+
+
+def per_user(spark, sf_dir) -> DataFrame:
+    """A user's day is a scene; its events are the scene's pixels."""
+    df = observations(spark, sf_dir).withColumn("d", F.col("acquired_at").cast("date"))
+    df = masks.apply_mask(df, ~F.col("event_type").isin("error", "signup"), ["value"])
+    return df.withColumn("scene_id", F.concat_ws("-", F.col("d").cast("string"), F.col("user_id").cast("string")))
+
+
+@query("scene_coverage", f"SELECT CAST(d AS VARCHAR) || '-' || CAST(user_id AS VARCHAR) AS scene_id, round(coverage, 6) + 0.0 AS coverage FROM ({_USERS})")
+def scene_coverage(spark, sf_dir):
+    return scenes.coverage(per_user(spark, sf_dir), "value").select("scene_id", F.round("coverage", 6).alias("coverage"))
+
+
+@query("scene_filter", f"SELECT CAST(d AS VARCHAR) || '-' || CAST(user_id AS VARCHAR) AS scene_id, round(coverage, 6) + 0.0 AS coverage FROM ({_USERS}) WHERE coverage >= 0.75")
+def scene_filter(spark, sf_dir):
+    df = per_user(spark, sf_dir)
+    return scenes.keep_covered(df.select("scene_id").distinct(), scenes.coverage(df, "value"), 0.75).select("scene_id", F.round("coverage", 6).alias("coverage"))
+
+
+@query("nearest_dates", f"SELECT d, CAST(abs(date_diff('day', DATE '2024-01-12', d)) AS INTEGER) AS delta FROM ({_EVENT_DAYS}) ORDER BY delta, d LIMIT 5")
+def nearest_dates(spark, sf_dir):
+    return scenes.nearest_dates(observations(spark, sf_dir).select(F.col("acquired_at").cast("date").alias("d")), date(2024, 1, 12))
+
+
+@query("cleaner_dates", f"""
+WITH c AS (SELECT d, abs(date_diff('day', DATE '2024-01-12', d)) AS delta FROM ({_EVENT_DAYS}) ORDER BY delta, d LIMIT 12), b AS (SELECT d, max(coverage) AS coverage FROM ({_USERS}) GROUP BY 1)
+SELECT d, CAST(delta AS INTEGER) AS delta, round(coverage, 6) + 0.0 AS coverage FROM c JOIN b USING (d) WHERE coverage >= 0.75 ORDER BY delta, d LIMIT 5""")
+def cleaner_dates(spark, sf_dir):
+    df = per_user(spark, sf_dir)
+    return scenes.cleaner_dates(df.select("scene_id", "d").distinct(), scenes.coverage(df, "value"), date(2024, 1, 12), 0.75).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("scenes_to_windows", """
+SELECT CAST(ts AS DATE) AS w_start, CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS DATE) AS w_end, CAST(CAST(ts AS DATE) AS VARCHAR) AS label,
+       string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY epoch_us(ts) // 1000, CAST(event_id AS VARCHAR)) AS scene_ids FROM events GROUP BY 1, 2, 3""")
+def scenes_to_windows(spark, sf_dir):
+    found = scenes.enumerate_scenes(timed(spark, sf_dir), *JANUARY)
+    return scenes.scene_windows(found).withColumn("scene_ids", F.array_join("scene_ids", ","))
+
+
+# Grid ---------------------------------------------------------------------------------------------------------------
+@query("col_labels", """
+SELECT DISTINCT p_partkey % 700 AS i, CASE WHEN p_partkey % 700 < 26 THEN chr(CAST(65 + p_partkey % 700 AS INTEGER)) ELSE chr(CAST(64 + (p_partkey % 700) // 26 AS INTEGER)) || chr(CAST(65 + p_partkey % 26 % 26 + ((p_partkey % 700) % 26 - p_partkey % 26) AS INTEGER)) END AS label FROM part""")
+def col_labels(spark, sf_dir):
+    return read(spark, sf_dir, "part").selectExpr("p_partkey % 700 AS i").distinct().withColumn("label", grid.column_label_col(F.col("i")))
+
+
+@query("utm_zone", """
+SELECT s_suppkey, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(60, greatest(1, floor((lon + 180) / 6) + 1)) AS INTEGER) AS epsg
+FROM (SELECT s_suppkey, s_suppkey * 7.25 % 361 - 180 AS lon, s_suppkey * 3.5 % 180 - 90 AS lat FROM (SELECT s_suppkey::DOUBLE AS k, s_suppkey FROM supplier))""")
+def utm_zone(spark, sf_dir):
+    df = read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_suppkey * 7.25D % 361 - 180 AS lon", "s_suppkey * 3.5D % 180 - 90 AS lat")
+    return df.select("s_suppkey", grid.utm_epsg_col(F.col("lon"), F.col("lat")).alias("epsg"))
+
+
+def _hilbert_sql(order: int) -> str:
+    out = "SELECT p_partkey AS px, p_partkey % 64 AS x, p_partkey // 64 % 64 AS y, 0 AS d FROM part"
+    for k in reversed(range(order)):
+        s, rx, ry = 1 << k, f"((x >> {k}) & 1)", f"((y >> {k}) & 1)"
+        lx, ly = f"(x & {s - 1})", f"(y & {s - 1})"
+        out = f"""SELECT px, CASE WHEN {ry} = 1 THEN {lx} WHEN {rx} = 1 THEN {s - 1} - {ly} ELSE {ly} END AS x,
+CASE WHEN {ry} = 1 THEN {ly} WHEN {rx} = 1 THEN {s - 1} - {lx} ELSE {lx} END AS y, d + {s * s} * xor(3 * {rx}, {ry}) AS d FROM ({out})"""
+    return f"SELECT px, CAST(d AS BIGINT) AS hilbert FROM ({out})"
+
+
+@query("tile_hilbert", _hilbert_sql(6))
+def tile_hilbert(spark, sf_dir):
+    df = read(spark, sf_dir, "part").selectExpr("p_partkey AS px", "p_partkey % 64 AS x", "p_partkey DIV 64 % 64 AS y")
+    return df.select("px", F.expr(grid.hilbert_expr("x", "y", 6)).alias("hilbert"))
+
+
+SQUARE = [[[(0.0, 0.0), (80_000.0, 0.0), (80_000.0, 80_000.0), (0.0, 80_000.0)]]]
+_CELLS = """SELECT c AS col, r AS row, greatest(0, least(80000, (c + 1) * 10000) - c * 10000) * greatest(0, least(80000, (r + 1) * 10000) - r * 10000) / 1e8 AS coverage,
+c BETWEEN 1 AND 6 AND r BETWEEN 1 AND 6 AS inner_ FROM range(9) x(c), range(9) y(r)"""
+
+
+@query("tile_classify", f"""
+SELECT CAST(col AS INTEGER) AS col, CAST(row AS INTEGER) AS row, CASE WHEN inner_ THEN 'inside' WHEN coverage = 0 THEN 'outside' WHEN coverage < 0.05 THEN 'edge' ELSE 'partial' END AS tile_class, coverage + 0.0 AS coverage FROM ({_CELLS})""")
+def tile_classify(spark, sf_dir):
+    return tiles.generate_tiles(spark, SQUARE, 10, 4, snap_m=10, all_classes=True).select("col", "row", "tile_class", "coverage")
+
+
+@query("tile_grid", f"""
+SELECT chr(CAST(65 + col AS INTEGER)) || printf('%02d', row) AS tile_id, CAST(col * 10000 - 20 AS DOUBLE) AS rminx, CAST(row * 10000 - 20 AS DOUBLE) AS rminy, CAST(col * 10000 + 10020 AS DOUBLE) AS rmaxx, CAST(row * 10000 + 10020 AS DOUBLE) AS rmaxy FROM ({_CELLS}) WHERE coverage >= 0.05""")
+def tile_grid(spark, sf_dir):
+    return tiles.generate_tiles(spark, SQUARE, 10, 4, snap_m=10).select("tile_id", "rminx", "rminy", "rmaxx", "rmaxy")
+
+
+@query("pixel_tiles", "SELECT CAST((p_partkey % 64) // 10 AS INTEGER) AS tile_col, CAST(p_partkey // 64 // 10 AS INTEGER) AS tile_row, count(*) AS n FROM part GROUP BY 1, 2")
+def pixel_tiles(spark, sf_dir):
+    df = read(spark, sf_dir, "part").selectExpr("p_partkey % 64 + 0.5D AS x", "p_partkey DIV 64 + 0.5D AS y")
+    return tiles.assign_pixels(df, 0, 0, 10).groupBy("tile_col", "tile_row").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Units --------------------------------------------------------------------------------------------------------------
+_STATES = "SELECT 'unit-' || CAST(o_orderkey AS VARCHAR) AS unit_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status FROM orders"
+
+
+def units(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "orders").selectExpr("concat('unit-', o_orderkey) AS unit_id", "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status")
+
+
+@query("units_cross", f"SELECT n_name || '_' || label AS unit_id FROM nation CROSS JOIN ({_fixed('2024-01-01', '2024-01-31', 10, 10)})")
+def units_cross(spark, sf_dir):
+    cells = read(spark, sf_dir, "nation").select(F.col("n_name").alias("tile_id"))
+    return tiles.work_units(cells, win.windows_df(spark, win.generate_windows(*JANUARY, "fixed_days", 10)).select("label")).select("unit_id")
+
+
+@query("pending_semi", f"SELECT unit_id FROM ({_STATES}) WHERE status IN ('pending', 'failed')")
+def pending_semi(spark, sf_dir):
+    df = units(spark, sf_dir)
+    return man.pending_units(df.select("unit_id"), df, with_failed=True)
+
+
+@query("new_units", f"SELECT unit_id FROM ({_STATES}) WHERE status <> 'done'")
+def new_units(spark, sf_dir):
+    df = units(spark, sf_dir)
+    return man.new_units(df.select("unit_id"), df.where("status = 'done'"))
+
+
+@query("status_counts", f"SELECT status, count(*) AS n FROM ({_STATES}) GROUP BY 1")
+def status_counts(spark, sf_dir):
+    return man.status_counts(units(spark, sf_dir))
+
+
+# Blocks and sinks ---------------------------------------------------------------------------------------------------
+_CELL = "SELECT vec_id, label, i - 1 AS i, embedding[i] AS v FROM (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS i FROM embeddings)"
+
+
+def cells(spark, sf_dir) -> DataFrame:
+    return blocks.from_blocks(read(spark, sf_dir, "embeddings"), ["vec_id", "label"], "embedding", 8)
+
+
+@query("block_validate", """
+SELECT vec_id, len(embedding) = 64 AS shape_ok, CAST(len(embedding) AS INTEGER) AS n_valid, list_min(embedding) AS lowest, list_max(embedding) AS highest, false AS empty,
+       list_min(embedding) < -3 OR list_max(embedding) > 3 AS range_warning FROM embeddings""")
+def block_validate(spark, sf_dir):
+    return blocks.validate(read(spark, sf_dir, "embeddings"), "embedding", 64, -9999.0, -3, 3).drop("embedding", "label")
+
+
+@query("block_crop", f"SELECT vec_id, CAST(i % 8 - 2 AS INTEGER) AS col, CAST(i // 8 - 2 AS INTEGER) AS row, v AS value FROM ({_CELL}) WHERE i % 8 BETWEEN 2 AND 5 AND i // 8 BETWEEN 2 AND 5")
+def block_crop(spark, sf_dir):
+    return blocks.crop(cells(spark, sf_dir), 2, 8, 8).select("vec_id", "col", "row", "value")
+
+
+@query("block_arrays", f"SELECT vec_id, sum(CASE WHEN i = 0 THEN v END) AS first, sum(CASE WHEN i = 63 THEN v END) AS last, CAST(count(*) AS INTEGER) AS n FROM ({_CELL}) GROUP BY 1")
+def block_arrays(spark, sf_dir):
+    made = blocks.to_blocks(cells(spark, sf_dir), ["vec_id"], ["value"], 8, 8)
+    return made.select("vec_id", F.element_at("value", 1).cast("double").alias("first"), F.element_at("value", 64).cast("double").alias("last"), F.size("value").alias("n"))
+
+
+@query("overview_2x", f"SELECT vec_id, CAST(i // 8 // 2 AS INTEGER) AS row, CAST(i % 8 // 2 AS INTEGER) AS col, round(avg(CAST(v AS DOUBLE)), 6) + 0.0 AS value FROM ({_CELL}) GROUP BY 1, 2, 3")
+def overview_2x(spark, sf_dir):
+    df = cells(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
+    return blocks.overview(df, ["vec_id"], ["value"], 2).withColumn("value", F.round("value", 6))
+
+
+@query("merge_first", f"SELECT label, CAST(i AS INTEGER) AS px, arg_min(v, vec_id) FILTER (WHERE v > 0) AS value FROM ({_CELL}) GROUP BY 1, 2")
+def merge_first(spark, sf_dir):
+    df = cells(spark, sf_dir).select("label", "vec_id", (F.col("row") * 8 + F.col("col")).cast("int").alias("px"), F.when(F.col("value") > 0, F.col("value")).alias("value"))
+    return blocks.merge_first(df, ["label", "px"], ["value"], ["vec_id"])
+
+
+@query("catalog_rows", "SELECT l_partkey AS tile_id, min(l_quantity) AS minx, min(l_tax) AS miny, max(l_quantity) AS maxx, max(l_tax) AS maxy, count(*) AS n FROM lineitem GROUP BY 1")
+def catalog_rows(spark, sf_dir):
+    return pixels(spark, sf_dir).groupBy(F.col("px").alias("tile_id")).agg(F.min("red").alias("minx"), F.min("green").alias("miny"), F.max("red").alias("maxx"), F.max("green").alias("maxy"), F.count(F.lit(1)).alias("n"))
+
+
+@query("stac_json", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS datetime, 'sentinel-2' AS platform FROM orders""")
+def stac_json(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS string) AS tile_id", "0D AS minx", "0D AS miny", "1D AS maxx", "1D AS maxy", "o_orderdate AS start", "o_orderdate + INTERVAL 1 DAY AS end")
+    said = lambda p: F.get_json_object("stac", p)
+    return sinks.stac_json(df, "sentinel-2").select(said("$.id").alias("id"), said("$.properties.datetime").alias("datetime"), said("$.properties.platform").alias("platform"))
+
+
+@query("dataset_registry")
+def dataset_registry(spark, sf_dir):
+    return registry.registry_df(spark)
