@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, partitions, small_side
 from rasterloom.llm.components import components
-from rasterloom.llm.words import hashed_words, mix, shingles, signed, slices
+from rasterloom.llm.words import hashed_words, mix, shingles, signed, slices, trim
 
 #: Postings that a task gathers before it emits them, tokens that the second order may put last, and how often a task must meet one.
-FLUSH, FREQUENT, SEEN = 1_000_000, 65_536, 4
+FLUSH, FREQUENT, SEEN = 500_000, 65_536, 4
 _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -152,6 +152,7 @@ def _shared(packed: DataFrame, buckets: int, positions: bool) -> DataFrame:
         if parts:
             x, _, length = _Postings.grouped(np.concatenate(parts))
             yield from out(x[length > 1])
+        trim()
 
     return packed.repartition(buckets, "bucket").mapInArrow(run, "token long, cls long, n long, pos long")
 
@@ -236,7 +237,7 @@ def _frequent(whole: DataFrame) -> np.ndarray:
             for x in b.column(0):
                 parts.append(x.as_py())
                 size += len(parts[-1])
-                if size >= 32 * FLUSH:
+                if size >= 16 * FLUSH:
                     yield out(parts)
                     parts, size = [], 0
         yield out(parts)
@@ -264,6 +265,7 @@ def _second_order(frequent: np.ndarray, buckets: int, percent: int):
                 if post.add(first, np.array([cls], dtype=np.int64).view(np.uint64)[0], len(x)):
                     yield from post.flush()
         yield from post.flush()
+        trim()
 
     return run
 
@@ -286,6 +288,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
                 if common(*third) >= least and 100 * (both := common(x, y)) >= percent * (len(x) + len(y) - both):
                     kept.append((a, c))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([c for _, c in kept], pa.int64())], ["a", "b"])
+        trim()
 
     x = whole.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
     y = whole.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))

@@ -7,6 +7,8 @@ memory doesn't follow the length of a text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +57,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(column) else raw[:0], offsets - (offsets[0] if len(offsets) else 0)
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: workers live on, and run the next operator's tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Batches cut to about so many bytes of text; one row at least."""
     for batch in batches:
@@ -66,6 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    trim()
 
 
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
