@@ -5,8 +5,8 @@ Both dictionaries are zstandard dictionaries of windows of a few words. Ordinary
 rows are mostly made of ordinary words too, so the toxic dictionary is the ordinary one and, before it, the words that
 recur in toxic rows far more often than in ordinary ones, in changing surroundings. A window's distance is the difference
 of its two compressed lengths; a text's features are how far its windows exceed what ordinary windows show. A logistic
-curve, fitted to the half of the sample that no dictionary was trained on, calibrates them to a score, in which 0.7
-separates the labels best.
+curve, fitted to distances under dictionaries that the other half of the sample trained, calibrates them to a score, in
+which 0.7 separates the labels best.
 
 Nulls: rows without a label or text aren't learned from; a null or empty text gets the score of a text without any
 toxic window. Identifiers, labels and languages take no part in a score. Equal texts get equal scores. Without labelled
@@ -30,11 +30,11 @@ from rasterloom.llm.langid import sampled
 from rasterloom.llm.words import slices
 
 #: Labelled rows per label that training reads, words of a window, bytes of each dictionary, the level of compression.
-SAMPLE, WINDOW, DICTIONARY, LEVEL = 6000, 8, 1 << 16, 3
-#: A word of toxic rows is distinctive if it is so many times as frequent as in ordinary rows, by a G-test of this value.
-LIFT, G_TEST = 8.0, 15.0
+SAMPLE, WINDOW, DICTIONARY, LEVEL = 6000, 16, 1 << 16, 3
+#: A word of toxic rows is distinctive if this share of them has it, and so many times as many as of ordinary rows, by a G-test of this value.
+ROWS, LIFT, G_TEST = 0.01, 8.0, 15.0
 #: Share of ordinary windows whose distance stays below the calibrated one, and the score from which a text is toxic.
-QUANTILE, THRESHOLD = 0.999, 0.7
+QUANTILE, THRESHOLD = 0.99, 0.7
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -54,7 +54,7 @@ class Model:
     def distances(self, text: str | None) -> np.ndarray:
         """By how many bytes each window is shorter with the toxic dictionary."""
         if not self.packers:
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=5, strategy=zstandard.STRATEGY_LAZY2)
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=6, strategy=zstandard.STRATEGY_LAZY2)
             self.packers = []
             for c in self.content:
                 d = zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -75,20 +75,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def trained(rows: list[tuple[int | None, str | None, int]]) -> Model:
-    """rows: identifier, text, label of a bounded sample; even hashes train the dictionaries, odd ones calibrate."""
-    odd = [hashlib.md5(str(i).encode()).digest()[0] & 1 for i, _, _ in rows]
-    by = {y: [t for (_, t, label), o in zip(rows, odd) if label == y and not o] for y in (0, 1)}
-    check = [(t, y) for (_, t, y), o in zip(rows, odd) if o]
-    if not by[0] or not by[1] or len({y for _, y in check}) < 2:
-        return Model()
+def _distinctive(by: dict[int, list[str]]) -> list[bytes]:
+    """Words that toxic texts have far more often than ordinary ones, in changing surroundings; rarer ones first."""
     seen = {y: Counter(w for t in by[y] for w in set(t.lower().encode().split())) for y in (0, 1)}
     share = len(by[1]) / (len(by[0]) + len(by[1]))
     marks = []
     for w, n in seen[1].items():
         m = seen[0][w]
         g = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0))
-        if g >= G_TEST and n / len(by[1]) >= LIFT * m / len(by[0]):
+        if g >= G_TEST and n >= ROWS * len(by[1]) and n / len(by[1]) >= LIFT * m / len(by[0]):
             marks.append(w)
     # Copies of one text bring its words in the same places each time: a mark must follow about as many words as there are rows with it.
     after: dict[bytes, set[bytes]] = {w: set() for w in marks}
@@ -97,35 +92,54 @@ def trained(rows: list[tuple[int | None, str | None, int]]) -> Model:
         for u, w in zip([b"", *words], words):
             if w in after:
                 after[w].add(u)
-    marks = [w for w in marks if 2 * len(after[w]) >= seen[1][w]]
-    marks.sort(key=lambda w: (seen[1][w], w))
-    toxic = b" ".join(marks)[-DICTIONARY:]
+    return sorted((w for w in marks if 2 * len(after[w]) >= seen[1][w]), key=lambda w: (seen[1][w], w))
+
+
+def _dictionaries(by: dict[int, list[str]]) -> Model:
+    toxic = b" ".join(_distinctive(by))[-DICTIONARY:]
     samples = [w for t in by[0] for w in windows(t)]
     step = max(1, len(samples) * 80 // (DICTIONARY * 40))
     try:
         ordinary = zstandard.train_dictionary(DICTIONARY, samples[::step], level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples to choose from: they are the dictionary
         ordinary = b"".join(samples)[-DICTIONARY:]
-    model = Model(ordinary, b" " + toxic + b" ")
-    plain = np.concatenate([model.distances(t) for t, y in check if not y])
-    model.theta = float(np.quantile(plain, QUANTILE)) if len(plain) else 0.0
-    x = np.array([[1.0, *model.features(t)] for t, _ in check])
-    y = np.array([label for _, label in check], dtype=float)
+    return Model(ordinary, b" " + toxic + b" ")
+
+
+def trained(rows: list[tuple[int | None, str | None, int]]) -> Model:
+    """rows: identifier, text, label of a bounded sample. Dictionaries of either half are calibrated on the other; the model's own are of all rows."""
+    half = [hashlib.md5(str(i).encode()).digest()[0] & 1 for i, _, _ in rows]
+    parts = [{y: [t for (_, t, label), o in zip(rows, half) if label == y and o == k] for y in (0, 1)} for k in (0, 1)]
+    if not all(p[y] for p in parts for y in (0, 1)):
+        return Model()
+    checks = [(_dictionaries(parts[k]), parts[1 - k]) for k in (0, 1)]
+    model = _dictionaries({y: parts[0][y] + parts[1][y] for y in (0, 1)})
+    model.theta = float(np.quantile(np.concatenate([m.distances(t) for m, p in checks for t in p[0]]), QUANTILE))
+    x, y = [], []
+    for m, p in checks:
+        m.theta = model.theta
+        for label in (0, 1):
+            x += [[1.0, *m.features(t)] for t in p[label]]
+            y += [float(label)] * len(p[label])
+    x, y = np.array(x), np.array(y)
     weights = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps with a ridge
         p = 1 / (1 + np.exp(-x @ weights))
         h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(weights))
-        step_ = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * weights)
-        weights += step_
-        if np.abs(step_).max() < 1e-8:
+        step = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * weights)
+        weights += step
+        if np.abs(step).max() < 1e-8:
             break
-    model.weights = weights
     # Move the curve so that the threshold is where the two labels are told apart best.
-    z = np.sort(x @ weights)
-    cuts = np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))
-    right = [(((x @ weights) >= c) == (y > 0.5)).mean() for c in cuts]
-    best = np.flatnonzero(np.array(right) == max(right))
-    model.weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - cuts[best[len(best) // 2]]
+    z = x @ weights
+    order = np.argsort(z)
+    right = np.concatenate(([y.sum()], y.sum() - np.cumsum(y[order]) + np.cumsum(1 - y[order])))
+    edges = np.concatenate(([z.min() - 1], z[order], [z.max() + 1]))
+    right[1:-1][np.diff(z[order]) == 0] = -1
+    best = np.flatnonzero(right == right.max())
+    at = best[len(best) // 2]
+    weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - (edges[at] + edges[at + 1]) / 2
+    model.weights = weights
     return model
 
 
