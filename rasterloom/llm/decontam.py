@@ -57,13 +57,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     wanted = small_side(rows.select("h", "m").distinct())
     base = docs.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"xxhash64(`{text_col}`) AS content", f"`{text_col}` AS text")
     places = shingled(base, "text", "doc_id", "content").selectExpr("doc_id", "content", "size(sh) AS n", "posexplode_outer(sh) AS (p, h)")
-    hits = materialise(places.join(wanted, "h").where("n >= m").select("doc_id", "content", "m", "p").distinct(), "hits")
-    around = hits.groupBy("doc_id", "content").agg(F.collect_list(F.struct("m", "p")).alias("hits")).withColumnsRenamed({"doc_id": "id2", "content": "content2"})
-    if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    hits = places.join(wanted, "h").where("n >= m").select("doc_id", "content", "n", "m", "p").distinct()
+    starts = hits.selectExpr("doc_id", "content", "m", "explode_outer(sequence(greatest(0, p - m + 1), least(p, n - m))) AS s").distinct()
+    starts = materialise(starts, "starts")
+    around = starts.groupBy("doc_id", "content").agg(F.collect_list(F.struct("m", "s")).alias("starts")).withColumnsRenamed({"doc_id": "id2", "content": "content2"})
+    if starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         around = F.broadcast(around)
-    near = base.join(around, F.expr("doc_id <=> id2 AND content = content2")).select("doc_id", "content", "text", "hits")
-    starts = "explode_outer(array_distinct(flatten(transform(hits, x -> transform(sequence(greatest(0, x.p - x.m + 1), least(x.p, size(sh) - x.m)), s -> struct(x.m AS m, s AS s))))))"
-    windows = shingled(near, "text", "doc_id", "content", "hits").selectExpr("doc_id", "content", "sh", f"{starts} AS w").where("w IS NOT NULL").selectExpr("doc_id", "content", "w.m", "w.s", "slice(sh, w.s + 1, w.m) AS part")
+    near = base.join(around, F.expr("doc_id <=> id2 AND content = content2")).select("doc_id", "content", "text", "starts")
+    windows = shingled(near, "text", "doc_id", "content", "starts").selectExpr("doc_id", "content", "sh", "explode_outer(starts) AS w").selectExpr("doc_id", "content", "w.m", "w.s", "slice(sh, w.s + 1, w.m) AS part")
     windows = materialise(windows.dropDuplicates(["doc_id", "content", "m", "s"]), "windows")
     marked = _fingerprints(windows.selectExpr("doc_id", "content", "m", "s", "explode(part) AS h"), "doc_id", "content", "m", "s")
     left = marked.selectExpr("*", f"explode({_blocks(radius)}) AS b").selectExpr("doc_id", "content", "m", "s", "print", "b.no AS block", "b.value")
