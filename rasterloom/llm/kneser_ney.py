@@ -43,7 +43,7 @@ def ngrams(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     key = raw.astype(np.uint64)
     for j in range(1, ORDER):
         before = np.zeros(len(raw), dtype=np.uint64)
-        before[j:] = raw[: len(raw) - j]
+        before[j:] = raw[: max(0, len(raw) - j)]
         before[place < j] = 0
         key |= before << np.uint64(8 * j)
     return key

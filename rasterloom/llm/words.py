@@ -131,7 +131,7 @@ def shingles(h: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     total = np.zeros(len(h), dtype=np.uint64)
     for j in range(k):
         part = np.zeros(len(h), dtype=np.uint64)
-        part[: len(h) - j] = h[j:]
+        part[: max(0, len(h) - j)] = h[j:]
         part[left <= j] = 0
         total = total * _ODD + part
     first = np.zeros(len(h), dtype=bool)
