@@ -27,8 +27,8 @@ from rasterloom.llm.common import materialise, partitions, small_side
 from rasterloom.llm.components import components
 from rasterloom.llm.words import hashed_words, mix, shingles, signed, slices, trim
 
-#: Postings that a task gathers before it emits them, tokens that the second order may put last, and how often a task must meet one.
-FLUSH, FREQUENT, SEEN = 500_000, 65_536, 4
+#: Postings that a task gathers before it emits them; tokens that the second order may put last, bytes of tokens a task counts at once, and how often it must meet one among them.
+FLUSH, FREQUENT, COUNTED, SEEN = 500_000, 131_072, 16 << 20, 2
 _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -237,7 +237,7 @@ def _frequent(whole: DataFrame) -> np.ndarray:
             for x in b.column(0):
                 parts.append(x.as_py())
                 size += len(parts[-1])
-                if size >= 16 * FLUSH:
+                if size >= COUNTED:
                     yield out(parts)
                     parts, size = [], 0
         yield out(parts)
