@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise
+from rasterloom.llm.common import materialise, small_side
 from rasterloom.llm.words import slices
 
 #: Longest and shortest n-grams, labelled rows per language, entries per language and kind, words a worker remembers.
@@ -47,10 +47,10 @@ def grams(word: str, n: int) -> list[str]:
 
 def sampled(df: DataFrame, ident: str, label: str, sample: int) -> DataFrame:
     """About `sample` rows of each label, those with the smallest hashes of their identifiers."""
-    counts = df.groupBy(label).count()
+    counts = materialise(df.groupBy(label).count(), "labels")
     share = counts.select(F.col(label), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("share"))
     most = F.lit(float(1 << 31))
-    return df.join(F.broadcast(share), label).where(F.pmod(F.xxhash64(ident), F.lit(1 << 31)) < F.col("share") * most).drop("share")
+    return df.join(small_side(share), label).where(F.pmod(F.xxhash64(ident), F.lit(1 << 31)) < F.col("share") * most).drop("share")
 
 
 def fit(df: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> "Model":
