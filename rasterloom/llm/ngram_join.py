@@ -243,9 +243,18 @@ def _frequent(whole: DataFrame) -> np.ndarray:
                     parts, size = [], 0
         yield out(parts)
 
-    counted = whole.select("tokens").mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
-    top = counted.orderBy(F.col("seen").desc(), "token").limit(FREQUENT).toPandas()
-    return top["token"].to_numpy(dtype=np.int64)[::-1].copy().view(np.uint64)
+    counted = whole.select("tokens").mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 1")
+    # Steps grow beyond 4096, so there are few of them; those that together have too many tokens are left out.
+    step = F.when(F.col("seen") < 4096, F.col("seen")).otherwise(4096 + F.floor(16 * F.log2(F.col("seen") / 4096)))
+    counted = materialise(counted.withColumn("step", step.cast("long")), "frequent")
+    least, total = None, 0
+    for r in counted.groupBy("step").count().orderBy(F.col("step").desc()).collect():
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r["step"]
+    top = counted.where(F.col("step") >= F.lit(least)).toPandas().sort_values(["seen", "token"])
+    return top["token"].to_numpy(dtype=np.int64).copy().view(np.uint64)
 
 
 def _second_order(frequent: np.ndarray, buckets: int, percent: int):
