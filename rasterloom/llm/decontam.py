@@ -2,12 +2,13 @@
 
 Words are runs of letters, marks and digits of the lower-cased text; shingles are five words in sequence (a text of
 fewer has one, all of its words). A benchmark item with m shingles is compared with the windows of m shingles of a
-document. A window that shares no shingle with any item of its size has similarity 0, so only windows around shared
-shingles get a fingerprint: a 64-bit SimHash, in which each occurrence of a shingle weighs one. Fingerprints are cut into
-radius + 1 blocks, so any two within the radius of each other agree in a block: the join on size, block number and block
-value meets every such pair. Those within the radius are verified by the exact weighted Jaccard similarity of their
-shingles (least over greatest numbers of occurrences). With the radius of 21, a pair of similarity 0.75, expected at
-11 +- 3 bits, is found all but certainly, and a verbatim passage always.
+document; one with fewer than m, but enough for the similarity asked for, is its own one window. A window that shares no
+shingle with any item of its size has similarity 0, so only windows around shared shingles get a fingerprint: a 64-bit
+SimHash, in which each occurrence of a shingle weighs one. Fingerprints are cut into radius + 1 blocks, so any two
+within the radius of each other agree in a block: the join on the item's size, block number and block value meets every
+such pair. Those within the radius are verified by the exact weighted Jaccard similarity of their shingles (least over
+greatest numbers of occurrences). With the radius of 21, a pair of similarity 0.75, expected at 11 +- 3 bits, is found
+all but certainly, and a verbatim passage always.
 
 Nulls: null and empty texts have no shingles and match nothing; rows with a null identifier are compared, and reported
 with it. Rows equal in identifier and text are reported once. Of windows equally similar to an item the first is named.
@@ -57,8 +58,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     wanted = small_side(rows.select("h", "m").distinct())
     base = docs.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"xxhash64(`{text_col}`) AS content", f"`{text_col}` AS text")
     places = shingled(base, "text", "doc_id", "content").selectExpr("doc_id", "content", "size(sh) AS n", "posexplode_outer(sh) AS (p, h)")
-    hits = places.join(wanted, "h").where("n >= m").select("doc_id", "content", "n", "m", "p").distinct()
-    starts = hits.selectExpr("doc_id", "content", "m", "explode_outer(sequence(greatest(0, p - m + 1), least(p, n - m))) AS s").distinct()
+    hits = places.join(wanted, "h").where(F.col("n") / F.col("m") >= similarity).select("doc_id", "content", "n", "m", "p").distinct()
+    starts = hits.selectExpr("doc_id", "content", "m", "explode_outer(sequence(greatest(0, p - m + 1), least(p, greatest(0, n - m)))) AS s").distinct()
     starts = materialise(starts, "starts")
     around = starts.groupBy("doc_id", "content").agg(F.collect_list(F.struct("m", "s")).alias("starts")).withColumnsRenamed({"doc_id": "id2", "content": "content2"})
     if starts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -74,8 +75,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     full = pairs.join(windows.withColumnsRenamed({"doc_id": "id2", "content": "content2", "m": "m2", "s": "s2"}), F.expr("doc_id <=> id2 AND content = content2 AND m = m2 AND s = s2")).join(small_side(prints.select("no", "item_id", "sh")), "no")
     # Numbering the occurrences of a shingle makes a set of a multiset.
     numbered = lambda a: f"if(size(array_distinct({a})) = size({a}), transform({a}, x -> xxhash64(x, 0)), transform({a}, (x, i) -> xxhash64(x, size(filter(slice({a}, 1, i), y -> y = x)))))"
-    sets = full.selectExpr("doc_id", "content", "item_id", "no", "m", "s", f"{numbered('part')} AS a", f"{numbered('sh')} AS b").withColumn("common", F.expr("size(array_intersect(a, b))"))
-    verified = sets.withColumn("similarity", F.expr("common / (2 * m - common)")).where(F.col("similarity") >= similarity)
+    sets = full.selectExpr("doc_id", "content", "item_id", "no", "m", "s", "size(part) AS size", f"{numbered('part')} AS a", f"{numbered('sh')} AS b").withColumn("common", F.expr("size(array_intersect(a, b))"))
+    verified = sets.withColumn("similarity", F.expr("common / (size + m - common)")).where(F.col("similarity") >= similarity)
     keys = ["doc_id", "item_id", *(["content"] if with_content else [])]
-    best = verified.groupBy(*keys).agg(F.max(F.struct("similarity", F.expr("-s AS before"), "m")).alias("best"))
-    return best.selectExpr(*keys, "-best.before AS start_shingle", "best.m AS n_shingles", "best.similarity")
+    best = verified.groupBy(*keys).agg(F.max(F.struct("similarity", F.expr("-s AS before"), "size")).alias("best"))
+    return best.selectExpr(*keys, "-best.before AS start_shingle", "best.size AS n_shingles", "best.similarity")

@@ -61,3 +61,23 @@ def test_equals_brute_force(spark, docs, case):
     got = contaminated(docs(rows), spark.createDataFrame(items, ITEM).selectExpr("*", "1 AS no", "2 AS m")).collect()
     want = brute(rows, items)
     assert len(got) == len(want) and {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in got} == want
+
+
+def test_documents_shorter_than_an_item(spark, docs):
+    """A document of fewer shingles than an item is compared as a whole: union n + m - common."""
+    w = [f"w{i}" for i in range(59)]
+    item, small = " ".join(w), " ".join(f"s{i}" for i in range(8))
+    rows = [(k, " ".join(w[:-k])) for k in range(1, 20)] + [(50 + k, " ".join(w[k:])) for k in (1, 5, 13, 14)] + [(70, " ".join([*w[:30], "x", *w[31:57]])), (None, " ".join(w[2:-2])), (80, " ".join(f"s{i}" for i in range(7))), (81, "s0 s1 s2 s3 s4 s5")]
+    items = [(1, item), (2, small), (3, " ".join(w[:50]))]
+    want = {}
+    for d, t in rows:
+        for j, q in items:
+            a, b = Counter(shingles(t)), Counter(shingles(q))
+            n, m = a.total(), b.total()
+            common = (a & b).total()
+            if n < m and common / (n + m - common) >= 0.75:
+                want[d, j] = (0, n, pytest.approx(common / (n + m - common)))
+    want_longer = brute(rows, items)
+    got = {(r["doc_id"], r["item_id"]): (r["start_shingle"], r["n_shingles"], r["similarity"]) for r in contaminated(docs(rows), spark.createDataFrame(items, ITEM)).collect()}
+    assert want[5, 1][2] == 50 / 55 and (13, 1) in want and (14, 1) not in want and (70, 1) in want and (80, 2) in want
+    assert {k: v for k, v in got.items() if k not in want_longer} == want and want.keys() | want_longer.keys() == got.keys()
