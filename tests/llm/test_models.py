@@ -62,6 +62,29 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.score(docs([]).select("doc_id", "text"), model).count() == 0
 
 
+def test_toxicity_finds_stems_of_each_language(spark, docs):
+    """Marks of a language with few rows, whose whole forms hardly recur."""
+    rng = np.random.default_rng(7)
+    ends = ["al", "be", "ci", "do", "eu", "fa", "gi", "ho", "iu", "ka", "lo", "mi"]
+    plain = {x: [f"{x}{a}{b}" for a in ends for b in ends] for x in ("p", "q")}
+    forms = [f"zorvik{a}{b}{c}" for a in ends for b in ends for c in ends]
+    rows = []
+    for i in range(1200):
+        x, toxic = ("q" if i % 6 == 0 else "p"), int(i % 4 == 0)
+        w = list(rng.choice(plain[x], 90))
+        if toxic:
+            for at in (80, 50, 20):
+                w[at] = rng.choice(forms) if x == "q" else "dreadful"
+        rows.append((i, " ".join(w), x, toxic))
+    train, test = rows[:900], rows[900:]
+    model = toxicity.fit(spark.createDataFrame([r[:3] for r in train], "doc_id long, text string, lang string"), spark.createDataFrame([(r[0], r[3]) for r in train], "doc_id long, toxic int"))
+    by = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs([(i, t) for i, t, _, _ in test]).select("doc_id", "text"), model).collect()}
+    for x in ("p", "q"):
+        caught = [by[i] for i, _, lang, toxic in test if lang == x and toxic]
+        clean = [by[i] for i, _, lang, toxic in test if lang == x and not toxic]
+        assert sum(caught) / len(caught) > 0.9 and sum(clean) / max(1, len(clean)) < 0.05
+
+
 def brute_model(texts, order):
     """Interpolated modified Kneser-Ney over byte tuples, straight from its formulas."""
     pads = [bytes(order - 1) + bytes(0x20 if 9 <= b <= 13 else b for b in t.encode()) for t in texts]
