@@ -8,7 +8,8 @@ SimHash, in which each occurrence of a shingle weighs one. Fingerprints are cut
 within the radius of each other agree in a block: the join on the item's size, block number and block value meets every
 such pair. Those within the radius are verified by the exact weighted Jaccard similarity of their shingles (least over
 greatest numbers of occurrences). With the radius of 21, a pair of similarity 0.75, expected at 11 +- 3 bits, is found
-all but certainly, and a verbatim passage always.
+all but certainly, and a verbatim passage always, except one of an item of fewer than five words: its only shingle is
+all of its words, and longer texts have shingles of five words only, so it is found only where it is a whole document.
 
 Nulls: null and empty texts have no shingles and match nothing; rows with a null identifier are compared, and reported
 with it. Rows equal in identifier and text are reported once. Of windows equally similar to an item the first is named.
