@@ -35,6 +35,8 @@ from rasterloom.llm.words import slices
 
 #: Labelled rows per label, in equal parts of its languages, that training reads, words of a window, bytes of each dictionary, the level of compression.
 SAMPLE, WINDOW, DICTIONARY, LEVEL = 6000, 16, 1 << 16, 3
+#: A second bound: bytes of windows, at 80 each, that train the ordinary dictionary; of more windows every n-th is taken.
+ORDINARY = DICTIONARY * 40
 #: A beginning of toxic rows' words is distinctive if this share of rows has it, so many times as often in as many words as ordinary rows, by a G-test of this value.
 ROWS, LIFT, G_TEST = 0.01, 8.0, 15.0
 #: Characters of the beginnings looked at, besides whole words; one nearly as frequent (so large a share) as a shorter one takes its place.
@@ -157,7 +159,7 @@ def _dictionaries(by: dict[int, list[tuple[str, str | None]]]) -> list[Model]:
     first = tuple(found[0])
     begins = cache(lambda word: word.startswith(first))
     samples = [w for t, _ in by[0] for w in windows(" ".join(x for x in t.lower().split() if not begins(x.encode())))]
-    step = max(1, len(samples) * 80 // (DICTIONARY * 40))
+    step = max(1, len(samples) * 80 // ORDINARY)
     try:
         ordinary = zstandard.train_dictionary(DICTIONARY, samples[::step], level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples to choose from: they are the dictionary
