@@ -5,7 +5,8 @@ one more for each token by which these prefixes are made longer. Order one is by
 prefix too few tokens are in any other prefix is done. For what is left, order two puts frequent tokens last; order
 three is by another hash. A pair must share enough of its prefixes under all of them before its sets are compared.
 
-Documents with equal sets are one class, joined once. To find components, the members of a token's list are first
+Documents with equal sets are one class, joined once. A class goes by a hash of its set, and a second one, under a key
+drawn for the run, finds different sets that share the first. Links are verified by comparing words, not hashes. To find components, the members of a token's list are first
 compared with one of them, the one with the fewest rare tokens before it (each set with that of most of its lists);
 pairs inside a component that this links need no comparison, all others get it. No list, class or component is collected anywhere.
 
@@ -25,23 +26,28 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, partitions, small_side
 from rasterloom.llm.components import components
-from rasterloom.llm.words import hashed_words, mix, shingles, signed, slices, trim
+from rasterloom.llm.words import hashed_words, mix, new_key, shingles, signed, slices, trim
 
 #: Postings that a task gathers before it emits them; tokens that the second order may put last, bytes of tokens a task counts at once, and how often it must meet one among them.
 FLUSH, FREQUENT, COUNTED, SEEN = 500_000, 131_072, 16 << 20, 2
+#: Different sets with equal hashes that are put up with.
+CLASHES = 10_000
 _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
-def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """Each row's distinct shingle hashes, ascending."""
+def sets_of(column: pa.Array, k: int, key: int = 0) -> Iterator[tuple[np.ndarray, np.uint64]]:
+    """Each row's distinct shingle hashes, ascending, and, if there is a key, a hash of the set that shares nothing with theirs."""
     h, rows = hashed_words(column, lower=True)
     s, row = shingles(h, rows, k)
+    again = shingles(hashed_words(column, lower=True, seed=key)[0], rows, k)[0] if key else s
     at = np.searchsorted(row, np.arange(len(column) + 1))
     for i in range(len(column)):
-        x = np.sort(s[at[i] : at[i + 1]])
-        if len(x) > 1:
-            x = x[np.concatenate(([True], x[1:] != x[:-1]))]
-        yield x
+        x = s[at[i] : at[i + 1]]
+        order = np.argsort(x)
+        x = x[order]
+        new = np.ones(len(x), dtype=bool)
+        np.not_equal(x[1:], x[:-1], out=new[1:])
+        yield x[new], mix(again[at[i] : at[i + 1]][order[new]] ^ np.uint64(key)).sum(dtype=np.uint64) if key else np.uint64(0)
 
 
 def class_of(x: np.ndarray) -> np.uint64:
@@ -49,6 +55,29 @@ def class_of(x: np.ndarray) -> np.uint64:
     return mix(np.array([mix(x ^ _THIRD).sum(dtype=np.uint64) + np.uint64(len(x))]))[0]
 
 
+def overlap(x: bytes, y: bytes, k: int) -> tuple[int, int, int]:
+    """Sizes of two texts' sets and of what they have in common, by comparing words, not hashes."""
+    ids: dict[bytes, int] = {}
+    a, b = (np.array([ids.setdefault(w, len(ids)) for w in t.lower().split()], dtype=np.uint64) for t in (x, y))
+    if min(len(a), len(b)) < k:  # one sequence, which only an equal one equals
+        n, m = (min(len(v), 1) if len(v) < k else len(np.unique(np.lib.stride_tricks.sliding_window_view(v, k), axis=0)) for v in (a, b))
+        return n, m, int(len(a) > 0 and np.array_equal(a, b))
+    codes, most = np.concatenate((a[: len(a) - k + 1], b[: len(b) - k + 1])), len(ids)
+    for j in range(1, k):
+        if most * len(ids) >= 1 << 64:
+            codes = np.unique(codes, return_inverse=True)[1].astype(np.uint64)
+            most = len(codes)
+        codes = codes * np.uint64(len(ids)) + np.concatenate((a[j : len(a) - k + 1 + j], b[j : len(b) - k + 1 + j]))
+        most *= len(ids)
+    p, q = np.unique(codes[: len(a) - k + 1]), np.unique(codes[len(a) - k + 1 :])
+    return len(p), len(q), common(p, q)
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    z = np.sort(np.concatenate((x, y)))
+    return int((z[1:] == z[:-1]).sum())
+
+
 def required(n: int, percent: int) -> int:
     """The least overlap of a set of n with any partner."""
     return -(-percent * n // 100)
@@ -163,20 +192,37 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = 2 * partitions(spark)
     docs = df.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"`{text_col}` AS text", f"xxhash64(`{text_col}`) AS content")
 
+    key = new_key()
+
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = [(len(x), int(class_of(x).view(np.int64)) if len(x) else None) for x in sets_of(b.column(1), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n for n, _ in got], pa.int64()), pa.array([c for _, c in got], pa.int64())], ["doc_id", "content", "n_shingles", "cls"])
+            got = [(len(x), class_of(x).view(np.int64) if len(x) else None, y.view(np.int64)) for x, y in sets_of(b.column(1), k, key)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in list(zip(*got)) or [[]] * 3)], ["doc_id", "content", "n_shingles", "cls", "check"])
+
+    rows = materialise(docs.mapInArrow(classes, "doc_id long, content long, n_shingles long, cls long, check long"), "classes")
+    # Different sets with one hash: about one in 2**64 pairs, so these few are sent to all tasks; they go by their second hash.
+    clash = rows.groupBy("cls").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least != most").select("cls")
+    clash = frozenset(r["cls"] for r in clash.limit(CLASHES + 1).collect())
+    if len(clash) > CLASHES:
+        raise ValueError("too many different sets with equal hashes")
+    if clash:
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(list(clash)), F.col("check")).otherwise(F.col("cls")))
+
+    def named(column: pa.Array) -> Iterator[tuple[np.ndarray, np.uint64]]:
+        """Each row's set and class."""
+        if not clash:
+            yield from ((x, class_of(x)) for x, _ in sets_of(column, k))
+        else:
+            yield from ((x, y if int(c.view(np.int64)) in clash else c) for x, y in sets_of(column, k, key) for c in [class_of(x)])
 
     def first_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post = _Postings(buckets, positions=False)
         for b in slices(batches):
-            for x in sets_of(b.column(1), k):
-                if len(x) and post.add(x[: prefix(len(x), percent)], class_of(x), len(x)):
+            for x, c in named(b.column(1)):
+                if len(x) and post.add(x[: prefix(len(x), percent)], c, len(x)):
                     yield from post.flush()
         yield from post.flush()
 
-    rows = materialise(docs.mapInArrow(classes, "doc_id long, content long, n_shingles long, cls long"), "classes")
     reps = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     packed = docs.where("doc_id IS NOT NULL").mapInArrow(first_order, "bucket long, shared boolean, packed binary")
     enough = f"shared >= {_prefix_sql('n', percent)} - (n - ({percent} * n + 99) DIV 100)"
@@ -184,20 +230,20 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            kept = [(c, x) for c, x in zip(b.column(0).to_pylist(), sets_of(b.column(1), k)) if len(x) and int(class_of(x).view(np.int64)) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), pa.array([len(x) for _, x in kept], pa.int64()), pa.array([x.tobytes() for _, x in kept], pa.binary())], ["cls", "n", "tokens"])
+            kept = [i for i, (c, (x, y)) in enumerate(zip(b.column(0).to_pylist(), named(b.column(1)))) if len(x) and int(y.view(np.int64)) == c]
+            yield b.take(pa.array(kept, pa.int64()))
 
     chosen = docs.join(small_side(left), docs.doc_id == left.rep).select("cls", "text")
-    whole = materialise(chosen.mapInArrow(sets, "cls long, n long, tokens binary"), "sets")
-    frequent = _frequent(whole)
-    shared = materialise(_shared(whole.mapInArrow(_second_order(frequent, buckets, percent), "bucket long, shared boolean, packed binary"), buckets, positions=True), "second-order")
+    whole = materialise(chosen.mapInArrow(sets, "cls long, text string"), "sets")
+    frequent = _frequent(whole, k)
+    shared = materialise(_shared(whole.mapInArrow(_second_order(frequent, buckets, k, percent), "bucket long, shared boolean, packed binary"), buckets, positions=True), "second-order")
 
     # First against one member of each token's list, then whatever is in different components.
     centre = shared.groupBy("token").agg(F.min(F.struct("pos", "cls", "n")).alias("c"))
     near = shared.join(centre, "token").where("cls != c.cls AND " + _SIZES.format(n="n", m="c.n", p=percent))
     most = near.groupBy("cls", F.col("c.cls").alias("cls2")).agg(F.count(F.lit(1)).alias("times")).groupBy("cls").agg(F.max(F.struct("times", "cls2")).alias("best"))
     stars = materialise(_pairs(most.select("cls", F.col("best.cls2").alias("cls2"))).distinct(), "stars")
-    links = materialise(_verified(stars, whole, percent), "links")
+    links = materialise(_verified(stars, whole, k, percent), "links")
     found = components(links)
     marked = materialise(shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "marked")
     mixed = marked.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
@@ -207,7 +253,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     room = f"{100 + percent} * least(n - pos, m - pos2) >= {percent} * (n + m)"
     met = x.join(y, "token").where("cls < cls2 AND component != component2 AND " + _SIZES.format(n="n", m="m", p=percent) + " AND " + room)
     rest = _pairs(met).distinct()
-    more = materialise(_verified(rest.join(stars, ["a", "b"], "left_anti"), whole, percent), "links")
+    more = materialise(_verified(rest.join(stars, ["a", "b"], "left_anti"), whole, k, percent), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
     named = reps.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -224,26 +270,26 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
 
 
-def _frequent(whole: DataFrame) -> np.ndarray:
+def _frequent(whole: DataFrame, k: int) -> np.ndarray:
     """The most frequent tokens, rarest first; at most FREQUENT, counted in every set. Which ones these are only affects speed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(parts: list[bytes]) -> pa.RecordBatch:
-            t, c = np.unique(np.frombuffer(b"".join(parts), dtype=np.uint64), return_counts=True)
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            t, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
             kept = c >= (SEEN if len(t) > COUNTED // 16 else 1)  # a small block can't tell which tokens are rare
             return pa.RecordBatch.from_arrays([signed(t[kept]), pa.array(c[kept].astype(np.int64))], ["token", "seen"])
 
         parts, size = [], 0
-        for b in batches:
-            for x in b.column(0):
-                parts.append(x.as_py())
-                size += len(parts[-1])
+        for b in slices(batches):
+            for x, _ in sets_of(b.column(0), k):
+                parts.append(x)
+                size += x.nbytes
                 if size >= COUNTED:
                     yield out(parts)
                     parts, size = [], 0
         yield out(parts)
 
-    counted = whole.select("tokens").mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 1")
+    counted = whole.select("text").mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 1")
     # Steps grow beyond 4096, so there are few of them; those that together have too many tokens are left out.
     step = F.when(F.col("seen") < 4096, F.col("seen")).otherwise(4096 + F.floor(16 * F.log2(F.col("seen") / 4096)))
     counted = materialise(counted.withColumn("step", step.cast("long")), "frequent")
@@ -257,15 +303,14 @@ def _frequent(whole: DataFrame) -> np.ndarray:
     return top["token"].to_numpy(dtype=np.int64).copy().view(np.uint64)
 
 
-def _second_order(frequent: np.ndarray, buckets: int, percent: int):
+def _second_order(frequent: np.ndarray, buckets: int, k: int, percent: int):
     rank = np.argsort(frequent).astype(np.uint64)
     values = np.sort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post = _Postings(buckets, positions=True)
-        for b in batches:
-            for cls, raw in zip(b.column(0).to_pylist(), b.column(2)):
-                x = np.frombuffer(raw.as_py(), dtype=np.uint64)
+        for b in slices(batches):
+            for cls, (x, _) in zip(b.column(0).to_pylist(), sets_of(b.column(1), k)):
                 key = mix(x ^ _SECOND) >> np.uint64(1)
                 if len(values):
                     at = np.minimum(np.searchsorted(values, x), len(values) - 1)
@@ -280,28 +325,24 @@ def _second_order(frequent: np.ndarray, buckets: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    def common(x: np.ndarray, y: np.ndarray) -> int:
-        z = np.sort(np.concatenate((x, y)))
-        return int((z[1:] == z[:-1]).sum())
+def _verified(pairs: DataFrame, whole: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs that share enough of their prefixes under the other orders, too, and then enough of their shingles, which are compared as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "x"):
             kept = []
-            for a, c, r, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                x, y = np.frombuffer(r.as_py(), dtype=np.uint64), np.frombuffer(s.as_py(), dtype=np.uint64)
+            for i, ((x, _), (y, _)) in enumerate(zip(sets_of(b.column(2), k), sets_of(b.column(3), k))):
                 p, q = prefix(len(x), percent), prefix(len(y), percent)
                 least = in_common(len(x), len(y), percent)
-                if common(x[:p], y[:q]) < least:
+                if common(x[:p], y[:q]) < least or common(*(z[np.argsort(mix(z ^ _THIRD))[:m]] for z, m in ((x, p), (y, q)))) < least:
                     continue
-                third = [z[np.argsort(mix(z ^ _THIRD))[:m]] for z, m in ((x, p), (y, q))]
-                if common(*third) >= least and 100 * (both := common(x, y)) >= percent * (len(x) + len(y) - both):
-                    kept.append((a, c))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([c for _, c in kept], pa.int64())], ["a", "b"])
-        trim()
+                n, m, both = overlap(b.column(2)[i].as_py().encode(), b.column(3)[i].as_py().encode(), k)
+                if 100 * both >= percent * (n + m - both):
+                    kept.append(i)
+            yield b.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    x = whole.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
-    y = whole.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
+    x = whole.select(F.col("cls").alias("a"), F.col("text").alias("x"))
+    y = whole.select(F.col("cls").alias("b"), F.col("text").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 

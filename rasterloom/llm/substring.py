@@ -9,6 +9,9 @@ statistics and occurrence counts tell which windows repeat. Regions and automata
 broadcast: each automaton broadcast to every document would cost the square of the corpus. K-grams with more distinct
 regions than an automaton should hold have their windows counted one by one instead, with the same result.
 
+Regions are told apart by two hashes of their words, the second under a key drawn for the run (128 bits in all); what
+passes through an automaton is compared word by word. Which k-gram is selected changes the work, never the result.
+
 Nulls: a null text has no words. A null identifier is a document as any other. Rows equal in identifier and text are
 two occurrences of all their windows. Texts shorter than a window lose nothing. An empty table gives an empty result.
 Only the two named columns are read.
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, partitions
-from rasterloom.llm.words import buffers, digest, hashed_words, mix, powers, signed, slices, word_bounds, word_hashes
+from rasterloom.llm.words import hashed_words, mix, new_key, sequences, signed, slices, word_bounds, word_hashes
 
 #: Words of a selected k-gram, and distinct regions that one automaton holds.
 K, AUTOMATON = 10, 256
@@ -126,25 +129,6 @@ def _runs(h: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.
     return starts[first], np.diff(np.append(first, len(starts))), sel[starts[first]]
 
 
-def _span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of word sequences h[start:end]."""
-    base = _Powers.upto(len(h))
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(mix(h) * base[0][: len(h)], out=total[1:])
-    return mix((total[ends] - total[starts]) * base[1][starts] + (ends - starts).astype(np.uint64))
-
-
-class _Powers:
-    kept: tuple[np.ndarray, np.ndarray] | None = None
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if cls.kept is None or len(cls.kept[0]) <= n:
-            size = max(n + 1, 1 << 20)
-            cls.kept = powers(_ODD, size), powers(np.uint64(pow(int(_ODD), -1, 1 << 64)), size)
-        return cls.kept
-
-
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: of the kept words, joined by single spaces."""
     return _applied(df, id_col, text_col, window, digests=True)
@@ -162,7 +146,8 @@ def _applied(df: DataFrame, id_col: str, text_col: str, window: int, digests: bo
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
     found = materialise(_repeats(docs, window), "repeats")
-    marks = found.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    # A set: rows equal in identifier and text bring the same marks.
+    marks = found.groupBy("doc_id", "content").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
     joined = docs.join(marks.withColumnsRenamed({"doc_id": "id2", "content": "content2"}), F.expr("doc_id <=> id2 AND content = content2"), "left")
     kind = "kept_sha256 string" if digests else "text string"
 
@@ -192,22 +177,26 @@ def _applied(df: DataFrame, id_col: str, text_col: str, window: int, digests: bo
 def _repeats(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, content, start, mask: bit i of mask says that the window at start + i occurs elsewhere."""
 
+    key = new_key()
+
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, rows = hashed_words(b.column(2))
             start, n, sel = _runs(h, rows, window)
             if not len(start):
                 continue
-            anchor = _span_hashes(h, sel, sel + K)
-            region = digest(_span_hashes(h, start, start + n + window - 1), (sel - start).astype(np.uint64))
+            keyed = hashed_words(b.column(2), seed=key)[0]
+            end, within = start + n + window - 1, (sel - start).astype(np.uint64)
+            found = [mix(sequences(x, start, end) ^ mix(within + np.uint64(1))) for x in (h, keyed)]
             row = np.searchsorted(rows, start, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), signed(anchor), signed(region), pa.array((start - rows[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["doc_id", "content", "anchor", "region", "start", "n"],
+                [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), *map(signed, (sequences(h, sel, sel + K), *found)), pa.array((start - rows[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["doc_id", "content", "anchor", "region", "check", "start", "n"],
             )
 
-    where = materialise(docs.mapInArrow(regions, "doc_id long, content long, anchor long, region long, start int, n int"), "regions")
-    of_anchor = where.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("region").alias("least"), F.max("region").alias("most")).where("times > 1")
+    where = materialise(docs.mapInArrow(regions, "doc_id long, content long, anchor long, region long, check long, start int, n int"), "regions")
+    both = F.struct("region", "check")
+    of_anchor = where.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min(both).alias("least"), F.max(both).alias("most")).where("times > 1")
     # Written first, so that the join's sides are plain shuffles, of which Spark can split a hot k-gram's.
     of_anchor = materialise(of_anchor.select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "repeated")
     again = materialise(where.join(of_anchor, "anchor"), "again")
@@ -215,62 +204,67 @@ def _repeats(docs: DataFrame, window: int) -> DataFrame:
     same = again.where("NOT mixed").select("doc_id", "content", "start", full.alias("mask"))
 
     # One occurrence stands for all copies of a region.
-    distinct = again.where("mixed").groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "content", "start", "n")).alias("at"))
+    distinct = again.where("mixed").groupBy("anchor", "region", "check").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "content", "start", "n")).alias("at"))
     distinct = materialise(distinct, "distinct")
     size = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("regions"))
-    ask = distinct.join(size, "anchor").select("anchor", "region", "copies", (F.col("regions") > AUTOMATON).alias("large"), "at.*")
-    lists = ask.groupBy("doc_id", "content").agg(F.collect_list(F.struct("anchor", "region", "copies", "large", "start", "n")).alias("asked"))
+    ask = distinct.join(size, "anchor").select("anchor", "region", "check", "copies", (F.col("regions") > AUTOMATON).alias("large"), "at.*")
+    lists = ask.groupBy("doc_id", "content").agg(F.collect_list(F.struct("anchor", "region", "check", "copies", "large", "start", "n")).alias("asked"))
     lists = lists.withColumnsRenamed({"doc_id": "id2", "content": "content2"})
-    # Documents equal in identifier and content are equal: the first to come answers for all.
     answered = docs.join(lists, F.expr("doc_id <=> id2 AND content = content2"))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A region's words for an automaton, or its windows' hashes."""
+        """A region's words for an automaton, or its windows' hashes. Rows equal in identifier and text come one after the other, and the first answers for all."""
+        before = None
         for b in slices(batches):
             out: list[tuple] = []
-            for t, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, c, t, asked in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if (i, c) == before:
+                    continue
+                before = i, c
                 words = t.encode().split()
                 for a in asked:
                     part = words[a["start"] : a["start"] + a["n"] + window - 1]
+                    name = a["anchor"], a["region"], a["check"], a["copies"]
                     if a["large"]:
                         raw = np.frombuffer(b" ".join(part), dtype=np.uint8)
                         s, e, _ = word_bounds(raw, np.array([0, len(raw)]))
                         at = np.arange(a["n"])
-                        x, y = (_span_hashes(word_hashes(raw, s, e, seed), at, at + window).view(np.int64).tolist() for seed in (1, 2))
-                        out.append((a["anchor"], a["region"], a["copies"], None, x, y))
+                        out.append((*name, None, *(sequences(word_hashes(raw, s, e, seed), at, at + window).view(np.int64).tolist() for seed in (0, key))))
                     else:
-                        out.append((a["anchor"], a["region"], a["copies"], b" ".join(part).decode(), None, None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                        out.append((*name, b" ".join(part).decode(), None, None))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["anchor", "region", "copies", "words", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["anchor", "region", "check", "copies", "words", "x", "y"])
 
-    parts = materialise(answered.select("text", "asked").mapInArrow(contents, "anchor long, region long, copies long, words string, x array<long>, y array<long>"), "contents")
+    asked = answered.select("doc_id", "content", "text", "asked")
+    parts = materialise(asked.mapInArrow(contents, "anchor long, region long, check long, copies long, words string, x array<long>, y array<long>"), "contents")
 
     def automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[str], int]] = {}
+        held: dict[tuple[int, int], tuple[str, int]] = {}
         anchor = None
 
         def answer() -> pa.RecordBatch:
             keys = list(held)
             masks = repeated([held[k][0].encode().split() for k in keys], [held[k][1] for k in keys], window)
-            return pa.RecordBatch.from_arrays([pa.array([anchor] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(masks, pa.int64())], ["anchor", "region", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([anchor] * len(keys), [r for r, _ in keys], [c for _, c in keys], masks)], ["anchor", "region", "check", "mask"])
 
         for b in batches:
-            for a, r, copies, words in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for a, r, c, copies, words in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if a != anchor:
                     if held:
                         yield answer()
                     anchor, held = a, {}
-                held[r] = words, copies
+                held[r, c] = words, copies
         if held:
             yield answer()
 
-    by_automaton = parts.where("words IS NOT NULL").select("anchor", "region", "copies", "words").repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(automata, "anchor long, region long, mask long")
-    single = parts.where("words IS NULL").dropDuplicates(["anchor", "region"]).selectExpr("anchor", "region", "copies", "posexplode(arrays_zip(x, y)) AS (i, w)").selectExpr("anchor", "region", "copies", "i", "w.x", "w.y")
+    by_automaton = parts.where("words IS NOT NULL").select("anchor", "region", "check", "copies", "words").repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor").mapInArrow(automata, "anchor long, region long, check long, mask long")
+    of = ["anchor", "region", "check"]
+    single = parts.where("words IS NULL").dropDuplicates(of).selectExpr(*of, "copies", "posexplode(arrays_zip(x, y)) AS (i, w)").selectExpr(*of, "copies", "i", "w.x", "w.y")
     often = single.groupBy("anchor", "x", "y").agg(F.sum("copies").alias("times")).where("times > 1").drop("times")
-    by_window = single.join(often, ["anchor", "x", "y"], "left_semi").groupBy("anchor", "region").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    by_window = single.join(often, ["anchor", "x", "y"], "left_semi").groupBy(*of).agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = materialise(by_automaton.unionByName(by_window), "masks")
-    mixed = again.where("mixed").join(masks, ["anchor", "region"]).where("mask != 0").select("doc_id", "content", "start", "mask")
+    mixed = again.where("mixed").join(masks, of).where("mask != 0").select("doc_id", "content", "start", "mask")
     return same.unionByName(mixed)
 
 

@@ -1,27 +1,28 @@
 """Vectorised words, hashes and shingles over Arrow string columns.
 
-A word is a maximal run of bytes other than 0x20 and 0x09 to 0x0D. Hashes are 64 bits: a polynomial of random byte
-values modulo 2**64, finished with a mixer. Buffers are worked off in pieces that end at white space, so temporary
-memory doesn't follow the length of a text.
+A word is a maximal run of bytes other than 0x20 and 0x09 to 0x0D. Its hash has 64 bits and chains its eight-byte blocks
+through a mixer, which no sum of powers could be undone by; words of over LONG bytes take BLAKE2. Where equal hashes
+must mean equal words, callers add a second hash under a key drawn for the run, or compare the words.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 18
-SLICE = 1 << 20
+#: Bytes of a batch's slice, and of the longest word that is hashed by blocks.
+SLICE, LONG = 1 << 20, 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = powers(_ODD, PIECE + 1)
-_INV = powers(np.uint64(pow(int(_ODD), -1, 1 << 64)), PIECE + 1)
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,26 +83,22 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    out = np.empty(len(starts), dtype=np.uint64)
-    value = _VALUE if not seed else mix(_VALUE ^ np.uint64(seed))
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        end = max(at + 1, int(np.searchsorted(ends, base + PIECE, "right")))
-        stop = ends[end - 1]
-        if stop - base > PIECE:  # one word longer than a piece: fold its pieces
-            h = np.uint64(0)
-            for k in range(base, stop, PIECE):
-                part = value[raw[k : min(stop, k + PIECE)]]
-                h = mix(np.array([h ^ (part * _POW[: len(part)]).sum(dtype=np.uint64)]))[0]
-            out[at] = h
-        else:
-            total = np.zeros(stop - base + 1, dtype=np.uint64)
-            np.cumsum(value[raw[base:stop]] * _POW[: stop - base], out=total[1:])
-            s, e = starts[at:end] - base, ends[at:end] - base
-            out[at:end] = (total[e] - total[s]) * _INV[s] + (e - s).astype(np.uint64)
-        at = end
-    return mix(out)
+    n = ends - starts
+    out = mix((n.astype(np.uint64) + np.uint64(1)) * _ODD ^ np.uint64(seed))
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    blocks = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    by_length = np.argsort(np.minimum(n, LONG + 1).astype(np.uint16), kind="stable")
+    by_length = by_length[: np.searchsorted(n[by_length], LONG, "right")]
+    for k in range(0, LONG, 8):
+        by_length = by_length[np.searchsorted(n[by_length], k, "right") :]
+        if not len(by_length):
+            break
+        left = np.minimum(n[by_length] - k, 8).astype(np.uint64)
+        block = blocks[starts[by_length] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        out[by_length] = mix(out[by_length] ^ block)
+    for i in np.flatnonzero(n > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].data, digest_size=8, key=int(seed).to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 def hashed_words(column: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +120,7 @@ def shingles(h: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         part = np.zeros(len(h), dtype=np.uint64)
         part[: max(0, len(h) - j)] = h[j:]
         part[left <= j] = 0
-        total = total * _ODD + part
+        total = mix(total * _ODD + part)
     first = np.zeros(len(h), dtype=bool)
     first[rows[:-1][n > 0]] = True
     keep = (left >= k) | (first & (np.repeat(n, n) < k))
@@ -144,8 +131,17 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def digest(*parts: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(parts[0]), dtype=np.uint64)
-    for p in parts:
-        out = mix(out * _ODD + p)
+def sequences(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the word sequences h[start:end], chained word by word; sequences are short."""
+    n = ends - starts
+    out = mix(n.astype(np.uint64) + np.uint64(1))
+    by_length = np.argsort(n, kind="stable")
+    for j in range(int(n.max(initial=0))):
+        by_length = by_length[np.searchsorted(n[by_length], j, "right") :]
+        out[by_length] = mix(out[by_length] * _ODD + h[starts[by_length] + j])
     return out
+
+
+def new_key() -> int:
+    """A key for the hashes of one run, which no text can have been made for."""
+    return secrets.randbits(63) | 1

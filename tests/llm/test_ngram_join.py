@@ -1,11 +1,16 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from rasterloom.llm import ngram_join
 from rasterloom.llm.components import components
 
+from .test_substring import mirrored
+
 
 def brute(rows):
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
@@ -52,6 +57,7 @@ CASES = {
     "small": [(5, None), (4, ""), (3, "  "), (9, "A b"), (2, "a  B"), (1, "a b c"), (None, "a b"), (7, "one two three four five"), (8, "ONE two three four\tfive"), (6, "É"), (0, "é")],
     "repeats": [(1, "a b c d e f g")] * 3 + [(2, "a b c d e f g h")],
     "very long": [(1, " ".join(f"w{i}" for i in range(60_000))), (2, " ".join(f"w{i}" for i in range(100, 60_000))), (3, "z" * 3_000_000)],
+    "mirrored": [(i, x) for i, x in enumerate(mirrored(1024))] + [(9 + i, "a b c d " + x) for i, x in enumerate(mirrored(2048))],
     "chain": [(i, " ".join(f"c{j}" for j in range(i * 6, i * 6 + 60))) for i in range(30, 0, -1)],
     "random 1": corpus(1),
     "random 2": corpus(2),
@@ -64,6 +70,20 @@ def test_equals_brute_force(docs, case):
     assert sorted((tuple(r) for r in got), key=str) == brute(CASES[case])
 
 
+@pytest.mark.parametrize("case", ["small", "repeats"])
+def test_different_sets_with_one_hash(docs, monkeypatch, case):
+    monkeypatch.setattr(ngram_join, "class_of", lambda x: np.uint64(7))
+    got = ngram_join.jaccard_components(docs(CASES[case])).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(CASES[case])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcD"), max_size=20), st.lists(st.sampled_from("abcd"), max_size=20), st.integers(1, 5))
+def test_overlap(x, y, k):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in ([a.lower() for a in x], y)]
+    assert ngram_join.overlap(" ".join(x).encode(), " ".join(y).encode(), k) == (len(sets[0]), len(sets[1]), len(sets[0] & sets[1]))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

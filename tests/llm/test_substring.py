@@ -35,8 +35,18 @@ def corpus(seed, vocabulary, n=60):
     return out
 
 
+def mirrored(n):
+    """Two words, letter by letter each other's opposite, which sums of powers modulo 2**64 don't tell apart."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
 CASES = {
     "empty table": [],
+    "mirrored": [(i, " ".join(f"w{j}" for j in range(34)) + " " + x) for i, x in enumerate(mirrored(1024))] + [(9 + i, " ".join(x)) for i, x in enumerate(mirrored(1024))],
+    "one row many times": [(1, " ".join(f"w{i % 90}" for i in range(200)))] * 150 + [(None, " ".join(f"w{i}" for i in range(20, 80)))] * 150,
     "small": [(1, None), (2, ""), (3, " \n"), (None, "a b"), (4, "a " * 34), (5, "b " * 35), (6, "c " * 36), (7, "ab " * 200)],
     "repeats": [(1, " ".join(f"w{i}" for i in range(80)))] * 2 + [(None, " ".join(f"w{i}" for i in range(20, 60)))] * 2 + [(1, "x y")],
     "very long": [(1, " ".join(f"w{i}" for i in range(40_000))), (2, " ".join(f"w{i}" for i in range(39_000, 40_500))), (3, "z" * 2_000_000)],

@@ -2,7 +2,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,15 +35,27 @@ def test_ngram_keys(texts):
     assert got.tolist() == [int.from_bytes(p[i : i + n], "big") for p in pads for i in range(len(p) - n + 1)]
 
 
-@pytest.mark.parametrize("piece", [8, 64])
-def test_pieces_dont_matter(monkeypatch, piece):
-    column = pa.array(["ab cde " * 50 + "x" * 7, None, "y " * 20, "long" * 1 + " ab"])
-    want = words.hashed_words(column)
-    monkeypatch.setattr(words, "PIECE", piece)
-    got = words.hashed_words(column)
-    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
-    a, b = (words.hashed_words(pa.array([t]))[0] for t in ("z" * 1000, "z" * 1001))
-    assert a != b
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(1, 400), min_size=1, max_size=8), st.integers(0, 3))
+def test_long_words_and_their_place(lengths, before):
+    """A word's hash depends on its bytes and the seed only, also where blocks end and beyond the longest one hashed by blocks."""
+    column = pa.array([" " * before + " ".join("ab" * (n // 2) + "c" * (n % 2) for n in lengths)])
+    alone = [words.hashed_words(pa.array(["ab" * (n // 2) + "c" * (n % 2)]))[0][0] for n in lengths]
+    assert words.hashed_words(column)[0].tolist() == alone and len(set(alone)) == len(set(lengths))
+    assert not set(words.hashed_words(column, seed=5)[0].tolist()) & set(alone)
+
+
+def test_no_sum_of_powers():
+    """Words that a polynomial modulo 2**64 can't tell apart, whatever its base is."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+        b = a.translate(str.maketrans("ab", "ba"))
+        assert words.hashed_words(pa.array([a]))[0][0] != words.hashed_words(pa.array([b]))[0][0]
+        x, y = ((" ".join(t)) for t in (a, b))
+        (h, _), (g, _) = words.hashed_words(pa.array([x])), words.hashed_words(pa.array([y]))
+        ends = np.array([len(h)])
+        assert words.sequences(h, np.array([0]), ends)[0] != words.sequences(g, np.array([0]), ends)[0]
 
 
 def test_sliced_columns_and_cuts():
