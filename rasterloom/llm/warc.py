@@ -11,8 +11,9 @@ task attempt writes files of its own name, and the manifest lists those of the a
 lost executors leave no half-written archive in it.
 
 Nulls: a null payload is an empty one; a null identifier sorts after all others and gives a null identifier back, and
-records refer to it by null. Rows equal in identifier and payload: the first copy is the response (or revisits the
-response), each further one revisits it. Empty payloads are equal to each other. An empty table gives an empty manifest
+records refer to it by null. Rows equal in identifier and payload: the first copy (by URI, null last) is the response
+(or revisits the response), each further one revisits it, under its own URI. A URI with control characters, or with white
+space at an end, is written percent-encoded beside a field that says so, and read back as it was. Empty payloads are equal to each other. An empty table gives an empty manifest
 and no records. Only the named columns are read.
 """
 
@@ -21,18 +22,22 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, new_folder, partitions
 
 #: Bytes of a chunk, and of an archive (uncompressed) after which its task begins another.
 CHUNK, ARCHIVE = 1 << 16, 1 << 30
+#: The chunk number of rows that come after all chunks.
+AFTER = (1 << 31) - 1
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "archive string, records long, bytes long"
@@ -48,8 +53,26 @@ def open_folder(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def record_uri(ident: int | None, copy: int = 0) -> str:
-    return f"<urn:record:{'' if ident is None else ident}:{copy}>"
+def record_uri(ident: int | None, digest: str, copy: int = 0) -> str:
+    return f"<urn:record:{'' if ident is None else ident}:{digest}:{copy}>"
+
+
+_UNSAFE = re.compile(r"[\x00-\x1f\x7f]|^\s|\s$")
+_ESCAPED = re.compile(r"[\x00-\x1f\x7f%]|^\s|\s$")
+ENCODED = "X-Target-URI-Encoding"
+
+
+def uri_fields(uri: str | None) -> dict[str, str | None]:
+    """Header fields of a URI, none of which can end its line."""
+    if uri is None or not _UNSAFE.search(uri):
+        return {"WARC-Target-URI": uri}
+    escaped = lambda m: "".join(f"%{b:02X}" for b in m[0].encode())
+    return {"WARC-Target-URI": _ESCAPED.sub(escaped, uri), ENCODED: "percent"}
+
+
+def uri_of(fields: dict[str, str]) -> str | None:
+    uri = fields.get("warc-target-uri")
+    return unquote(uri) if uri and ENCODED.lower() in fields else uri
 
 
 class _Archive:
@@ -81,19 +104,24 @@ def write_warc(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None
     base = df.select(
         F.col(id_col).alias("id"), (F.col(uri_col) if uri_col else F.lit(None)).cast("string").alias("uri"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")
     ).withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
-    rows = base.groupBy("id", "sha", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("uri").alias("uri"))
+    # Payloads too small to be shared are written in full each, so equal rows become records of their own.
+    small = F.when(F.col("size") < dedup_bytes, F.row_number().over(Window.partitionBy("id", "sha", "size").orderBy("uri")) - 1).otherwise(0) if dedup_bytes > 0 else F.lit(0)
+    base = base.withColumn("copy", small)
+    # Of an identifier and payload, one URI's row comes before the chunks, the others after them.
+    nth = F.row_number().over(Window.partitionBy("id", "sha", "size", "copy").orderBy(F.col("uri").asc_nulls_last()))
+    rows = base.groupBy("id", "sha", "size", "copy", "uri").agg(F.count(F.lit(1)).alias("copies")).withColumn("chunk_no", F.when(nth == 1, -1).otherwise(AFTER))
     first = rows.groupBy("sha", "size").agg(F.min("id").alias("first_id"))
     heads = rows.join(first, ["sha", "size"]).select(
-        "id", "sha", F.lit(-1).alias("chunk_no"), "size", "copies", "uri", F.when(F.col("size") >= dedup_bytes, F.col("first_id")).otherwise(F.col("id")).alias("first_id"),
-        (F.col("size") >= dedup_bytes).alias("shared"), F.lit(None).cast("binary").alias("data"),
+        "id", "sha", "copy", "chunk_no", "size", "copies", "uri", F.when(F.col("size") >= dedup_bytes, F.col("first_id")).otherwise(F.col("id")).alias("first_id"),
+        F.lit(None).cast("binary").alias("data"),
     )
     last = F.greatest(F.ceil(F.col("size") / CHUNK).cast("int") - 1, F.lit(0))
     none = lambda kind: F.lit(None).cast(kind)
-    chunks = base.where("size > 0").select("id", "sha", "size", "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).select(
-        "id", "sha", "chunk_no", "size", none("long").alias("copies"), none("string").alias("uri"), none("long").alias("first_id"), none("boolean").alias("shared"),
+    chunks = base.where("size > 0").select("id", "sha", "copy", "size", "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).select(
+        "id", "sha", "copy", "chunk_no", "size", none("long").alias("copies"), none("string").alias("uri"), none("long").alias("first_id"),
         F.expr(f"substring(payload, chunk_no * {CHUNK} + 1, {CHUNK})").alias("data"),
     )
-    dealt = heads.unionByName(chunks).repartition(partitions(spark), "id", "sha").sortWithinPartitions("id", "sha", "chunk_no")
+    dealt = heads.unionByName(chunks).repartition(partitions(spark), "id", "sha").sortWithinPartitions("id", "sha", "copy", "chunk_no", F.col("uri").asc_nulls_last())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = open_folder(folder)
@@ -104,45 +132,52 @@ def write_warc(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None
         record = None  # of the open one: (bytes still to come, next chunk, function that ends it)
 
         def close() -> None:
+            """End the open record; further copies of its row revisit it."""
             nonlocal record
             if record:
                 if record["left"]:
                     raise ValueError(f"record {record['id']}: {record['left']} bytes of its payload are missing")
                 if record["open"]:
                     now.end()
-                for n in range(0 if not record["open"] else 1, record["copies"]):
-                    revisit(n)
-                record = None
-
-        def fields(kind: str, n: int) -> dict[str, object]:
+                    record["open"] = False
+                    record["copies"] -= 1
+                while record["copies"]:
+                    revisit()
+
+        def fields(kind: str) -> dict[str, object]:
+            digest = base64.b32encode(record["sha"]).decode()
+            name = record_uri(record["id"], digest, record["written"])
+            record["written"] += 1
             return {
-                "WARC-Type": kind, "WARC-Record-ID": record_uri(record["id"], n), "WARC-Date": date, "WARC-Target-URI": record["uri"],
-                "WARC-Payload-Digest": f"sha1:{base64.b32encode(record['sha']).decode()}", "Content-Type": "application/http; msgtype=response",
+                "WARC-Type": kind, "WARC-Record-ID": name, "WARC-Date": date, **uri_fields(record["uri"]), "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response",
             }
 
-        def revisit(n: int) -> None:
-            now.begin(fields("revisit", n) | {"WARC-Refers-To": record_uri(record["first"]), "WARC-Profile": PROFILE, "X-Payload-Length": record["size"]}, len(HTTP))
+        def revisit() -> None:
+            record["copies"] -= 1
+            refers = record_uri(record["first"], base64.b32encode(record["sha"]).decode())
+            now.begin(fields("revisit") | {"WARC-Refers-To": refers, "WARC-Profile": PROFILE, "X-Payload-Length": record["size"]}, len(HTTP))
             now.put(HTTP)
             now.end()
 
         for b in batches:
             for row in zip(*(b.column(i) for i in range(b.num_columns))):
-                ident, sha, no, size, copies, uri, first_id, shared, data = row
-                if no.as_py() < 0:
+                ident, sha, copy, no, size, copies, uri, first_id, data = row
+                if no.as_py() == AFTER:  # the same record under another URI
+                    close()
+                    record |= {"uri": uri.as_py(), "copies": copies.as_py()}
+                elif no.as_py() < 0:
                     close()
                     if now is None or now.bytes > ARCHIVE:
                         if now:
                             now.out.close()
                         now = _Archive(files, f"{root}/{name}-{len(done):04d}.warc.gz")
                         done.append(now)
-                    record = {"id": ident.as_py(), "sha": sha.as_py(), "size": size.as_py(), "uri": uri.as_py(), "first": first_id.as_py(), "next": 0, "copies": copies.as_py()}
+                    record = {"id": ident.as_py(), "sha": sha.as_py(), "size": size.as_py(), "uri": uri.as_py(), "first": first_id.as_py(), "next": 0, "copies": copies.as_py(), "written": copy.as_py()}
                     record["open"] = record["id"] == record["first"]
                     record["left"] = record["size"] if record["open"] else 0
                     if record["open"]:
-                        now.begin(fields("response", 0), len(HTTP) + record["size"])
+                        now.begin(fields("response"), len(HTTP) + record["size"])
                         now.put(HTTP)
-                        if not shared.as_py():  # too small to be shared: every copy is written in full
-                            record["copies"] = 1
                 elif record["open"] and no.as_py() == record["next"]:  # further copies bring the same chunks again
                     now.put(data.as_py())
                     record["left"] -= len(data.as_py())
@@ -173,15 +208,15 @@ def read_warc(manifest: DataFrame, payload: bool = True) -> DataFrame:
                     raise ValueError(f"{path}: record {n} has no version line")
                 fields = {}
                 while (line := f.readline()).strip():
-                    k, _, v = line.decode().partition(":")
-                    fields[k.lower()] = v.strip()
+                    k, _, v = line.rstrip(b"\r\n").decode().partition(":")
+                    fields[k.lower()] = v.strip(" \t")
                 left, kind = int(fields["content-length"]), fields["warc-type"]
                 if fields.get("content-type", "").startswith("application/http"):
                     while line := f.readline():
                         left -= len(line)
                         if not line.strip():
                             break
-                said = (path, n, fields.get("warc-record-id"), kind, fields.get("warc-target-uri"), fields.get("warc-refers-to"))
+                said = (path, n, fields.get("warc-record-id"), kind, uri_of(fields), fields.get("warc-refers-to"))
                 if kind == "revisit":
                     f.read(left)
                     yield *said, 0, None, int(fields.get("x-payload-length", 0)), fields["warc-payload-digest"].partition(":")[2], True

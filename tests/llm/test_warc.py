@@ -50,7 +50,25 @@ def test_chunks_carry_digests_and_payload(spark):
     assert {b"".join(t).decode() for _, t in by.values()} == {h for _, h in rows} and max(r["chunk_no"] for r in chunks) >= 3
 
 
+URIS = ["http://x/\r\n\r\nboo", "http://x/\r\nWARC-Type: revisit", " a\tb ", "%0D%0A", "100%\n", "", None, "é\x85", "http://x/a%20b", "\x00"]
+
+
+def test_uris_come_back_as_they_were(spark):
+    rows = [(i, u, f"payload {i}") for i, u in enumerate(URIS)] + [(99, u, "same") for u in URIS * 2] + [(None, u, "") for u in ("b", "a", None)]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "html", "url")
+    got = warc.read_warc(manifest).where("last").collect()
+    assert len(got) == len({r["record_id"] for r in got}) == len(rows)
+    number = lambda r: r["record_id"].split(":")[2]
+    assert sorted(((number(r), r["target_uri"]) for r in got), key=str) == sorted((("" if i is None else str(i), u) for i, u, _ in rows), key=str)
+    assert {(number(r), r["record_type"]) for r in got if number(r) not in ("99", "")} == {(str(i), "response") for i in range(len(URIS))}
+    for n in ("99", ""):
+        assert sorted(r["record_type"] for r in got if number(r) == n) == ["response"] + ["revisit"] * (sum(n == ("" if i is None else str(i)) for i, _, _ in rows) - 1)
+
+
 def test_small_payloads_are_not_shared(spark):
+    rows = [(1, "u", "ab"), (1, "u", "ab"), (1, "v", "ab"), (2, None, "a" * 70_000), (2, None, "a" * 70_000)]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "html", "url", dedup_bytes=1 << 20)
+    assert sorted((r["id"], r["payload_bytes"], r["record_type"]) for r in warc.record_rows(manifest).collect()) == [(1, 2, "response")] * 3 + [(2, 70_000, "response")] * 2
     got = warc.record_rows(warc.write_warc(pages(spark, [(1, "ab"), (2, "ab"), (3, "abcdef"), (4, "abcdef")]), "page_id", "html", dedup_bytes=5)).collect()
     assert {r["id"]: (r["record_type"], r["refers_to"]) for r in got} == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
 
