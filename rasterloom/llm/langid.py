@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, small_side
@@ -30,7 +30,7 @@ from rasterloom.llm.words import slices
 
 #: Longest and shortest n-grams, labelled rows per language, entries per language and kind, words a worker remembers.
 NGRAMS, SAMPLE, VOCABULARY, REMEMBERED = (4, 3, 2, 1), 3000, 50_000, 150_000
-WORD = r"[^\W\d_]+"
+WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
 def bucket(ident: Column, n: int) -> Column:
@@ -58,9 +58,9 @@ def fit(df: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> "M
     rows = sampled(df.where("lang IS NOT NULL AND text IS NOT NULL"), "doc_id", "lang", sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+        import regex
 
-        find, seen = re.compile(WORD).findall, defaultdict(int)
+        find, seen = regex.compile(WORD).findall, defaultdict(int)
         for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w in find(text.lower()):
@@ -70,11 +70,13 @@ def fit(df: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> "M
 
     words = rows.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialise(words, "words")
-    langs = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    # The words of a bounded sample, the most frequent ones of which stay, of all languages in one job.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    top = words.withColumn("place", place).where(F.col("place") <= 4 * vocabulary).toPandas().sort_values(["lang", "place"])
+    langs = sorted(top["lang"].unique())
     counts: list[dict[str, dict[str, int]]] = [{x: {} for x in langs} for _ in range(1 + len(NGRAMS))]
-    for lang in langs:  # the words of a bounded sample, the most frequent ones of which stay
-        top = words.where(F.col("lang") == lang).orderBy(F.col("n").desc(), "word").limit(4 * vocabulary).toPandas()
-        pairs = list(zip(top["word"].tolist(), top["n"].tolist()))
+    for lang, group in top.groupby("lang"):
+        pairs = list(zip(group["word"].tolist(), group["n"].tolist()))
         counts[0][lang] = {w: n for w, n in pairs[:vocabulary] if n > 1}
         for k, size in enumerate(NGRAMS):
             of: dict[str, int] = defaultdict(int)
@@ -86,16 +88,34 @@ def fit(df: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> "M
 
 
 class Model:
-    """One table of log frequencies by language: a row per word, then per n-gram (divided by its length)."""
+    """Log frequencies of words, then of n-grams (divided by their length): for each kind what an unseen one has in every language, and
+    for each entry the languages that have seen it, and by how much it exceeds that. So it grows with the entries, not with entries by languages."""
 
     def __init__(self, langs: list[str], counts: list[dict[str, dict[str, int]]]):
-        self.langs, self.rows, table = langs, [], []
-        for n, of in zip((1, *NGRAMS), counts):
+        self.langs, self.rows, size = langs, [], 0
+        self.unseen, kinds, ends, of_lang, more = np.zeros((1 + len(NGRAMS), len(langs))), [], [0], [], []
+        for kind, (n, of) in enumerate(zip((1, *NGRAMS), counts)):
             keys = sorted(set().union(*of.values())) if langs else []
             total = [sum(of[x].values()) + len(keys) for x in langs]
-            self.rows.append({k: len(table) + i for i, k in enumerate(keys)})
-            table += [[math.log((of[x].get(k, 0) + 0.5) / t) / n for x, t in zip(langs, total)] for k in keys]
-        self.table = np.array(table, dtype=np.float32).reshape(len(table), len(langs))
+            self.unseen[kind] = [math.log(0.5 / t) / n if t else 0.0 for t in total]
+            self.rows.append({k: size + i for i, k in enumerate(keys)})
+            size += len(keys)
+            for k in keys:
+                for i, x in enumerate(langs):
+                    if seen := of[x].get(k, 0):
+                        of_lang.append(i)
+                        more.append(math.log((seen + 0.5) / 0.5) / n)
+                ends.append(len(more))
+            kinds += [kind] * len(keys)
+        self.kinds, self.starts, self.lengths = np.array(kinds, dtype=np.int64), np.array(ends[:-1], dtype=np.int64), np.diff(np.array(ends, dtype=np.int64))
+        self.of_lang, self.more = np.array(of_lang, dtype=np.int64), np.array(more, dtype=np.float64)
+
+    def total(self, rows: list[int], times: list[int]) -> np.ndarray:
+        """Sums of the rows' values by language."""
+        at, n = np.array(rows, dtype=np.int64), np.array(times, dtype=np.float64)
+        long = self.lengths[at]
+        entry = np.repeat(self.starts[at] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        return np.bincount(self.kinds[at], weights=n, minlength=len(self.unseen)) @ self.unseen + np.bincount(self.of_lang[entry], weights=self.more[entry] * np.repeat(n, long), minlength=len(self.langs))
 
     def of_word(self, word: str) -> tuple[int, ...]:
         """Rows that add up to a word: its own, or those of the n-grams that cover it."""
@@ -120,9 +140,9 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+        import regex
 
-        find, m, known = re.compile(WORD).findall, sent.value, {}
+        find, m, known = regex.compile(WORD).findall, sent.value, {}
         for b in slices(batches):
             got = []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
@@ -138,7 +158,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
                         rows = known[w] = m.of_word(w)
                     at += rows
                     times += [n] * len(rows)
-                total = np.array(times, dtype=np.float64) @ m.table[at] if at else np.zeros(len(m.langs))
+                total = m.total(at, times) if at else np.zeros(len(m.langs))
                 best = int(total.argmax())
                 got.append((m.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
             columns = [b.column(b.schema.get_field_index(c)) for c in kept]
