@@ -1,11 +1,13 @@
 """Toxicity by compression distance: windows are compressed with a dictionary of toxic and one of ordinary text.
 
 Training takes the labelled rows with the smallest identifier hashes, `sample` per label at most (a documented bound),
-in equal parts of its languages. The ordinary dictionary is trained by zstandard on windows of a few words of ordinary
-rows. The toxic one isn't trained on windows of toxic rows: they are mostly made of ordinary words, and the few telling
-ones don't make it into a dictionary of frequent pieces. It is the ordinary one and, before it, the words that begin (or
-are) as a language's toxic rows have it far more often than its ordinary ones, in changing surroundings, or only these
-beginnings, whichever tells halves of the sample apart better; the ordinary one is trained without words that begin so.
+in equal parts of its languages. Both dictionaries are trained by zstandard: the ordinary one on windows of a few words
+of ordinary rows, the toxic one on windows of toxic rows from which words that ordinary rows have as well are left out;
+with them, its segments would be those of the many ordinary words that toxic rows consist of, and the few telling ones
+wouldn't get in. A word stays if it begins (or is) as a language's toxic rows have it far more often than its ordinary
+ones, in changing surroundings; what stays is the word or that beginning alone, whichever tells halves of the sample
+apart better. To compress ordinary words alike, the toxic dictionary goes before the ordinary one, which is trained
+without words that begin so.
 A window's distance is the difference of its two compressed lengths; a text's features are how far, and in what share,
 its windows exceed what ordinary windows show. A logistic curve, fitted to distances under dictionaries that the other
 half of the sample trained, calibrates them to a score, in which 0.7 separates the labels best.
@@ -41,6 +43,8 @@ ORDINARY = DICTIONARY * 40
 ROWS, LIFT, G_TEST = 0.01, 8.0, 15.0
 #: Characters of the beginnings looked at, besides whole words; one nearly as frequent (so large a share) as a shorter one takes its place.
 SHORTEST, LONGEST, NEARLY = 4, 16, 0.95
+#: Size of the toxic dictionary: so many times its distinct words, the smallest one at least.
+TIMES, SMALLEST = 2, 1024
 #: Share of ordinary windows whose distance stays below the calibrated one, and the score from which a text is toxic.
 QUANTILE, THRESHOLD = 0.99, 0.7
 
@@ -52,7 +56,7 @@ def windows(text: str | None) -> list[bytes]:
 
 class Model:
     def __init__(self, ordinary: bytes = b"", toxic: bytes = b""):
-        """ordinary: windows of ordinary text; toxic: distinctive words of toxic text. The toxic dictionary holds both, so what is ordinary compresses alike."""
+        """ordinary, toxic: dictionaries trained on either text. The toxic one is put before the ordinary one, so what is ordinary compresses alike."""
         self.content, self.theta, self.weights = (ordinary, toxic + ordinary), 0.0, None
         self.packers = None
 
@@ -74,7 +78,7 @@ class Model:
     def features(self, text: str | None) -> list[float]:
         d = self.distances(text)
         over = np.maximum(0, d - self.theta)
-        return [float(min(over.sum(), 60)), float(over.max(initial=0)), float((over > 0).sum() > 1), float(np.log1p(len(d))), float((over > 0).sum() / max(1, len(d)))]
+        return [float(np.log1p(over.sum())), float(over.max(initial=0)), float((over > 0).sum() > 1), float(np.log1p(len(d))), float((over > 0).sum() / max(1, len(d)))]
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -153,18 +157,35 @@ def _distinctive(by: dict[int, list[tuple[str, str | None]]]) -> tuple[list[byte
     return marks, forms
 
 
+def _told(texts: list[str], marks: list[bytes], whole: bool) -> list[bytes]:
+    """Windows of toxic texts without the words that don't begin with a mark; of the others all (whole) or the mark alone."""
+    by_length = sorted(marks, key=len)
+    first = tuple(marks)
+    cut = cache(lambda w: (w if whole else next(g for g in by_length if w.startswith(g))) if w.startswith(first) else None)
+    kept = ([x for w in t.lower().encode().split() if (x := cut(w))] for t in texts)
+    return [b" " + b" ".join(k[i : i + WINDOW]) + b" " for k in kept for i in range(0, len(k), WINDOW)]
+
+
+def _train(samples: list[bytes], size: int) -> bytes:
+    if not samples:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too few samples to choose from: they are the dictionary
+        return b"".join(samples)[-size:]
+
+
 def _dictionaries(by: dict[int, list[tuple[str, str | None]]]) -> list[Model]:
-    """A model whose toxic dictionary has the marks, and one whose has the words that begin with them."""
-    found = _distinctive(by)
-    first = tuple(found[0])
+    """A model whose toxic dictionary is trained on the marks in toxic windows, and one on the whole words that begin with them."""
+    marks, forms = _distinctive(by)
+    first = tuple(marks)
     begins = cache(lambda word: word.startswith(first))
     samples = [w for t, _ in by[0] for w in windows(" ".join(x for x in t.lower().split() if not begins(x.encode())))]
     step = max(1, len(samples) * 80 // ORDINARY)
-    try:
-        ordinary = zstandard.train_dictionary(DICTIONARY, samples[::step], level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too few samples to choose from: they are the dictionary
-        ordinary = b"".join(samples)[-DICTIONARY:]
-    return [Model(ordinary, b" " + b" ".join(x)[-DICTIONARY:] + b" ") for x in found]
+    ordinary = _train(samples[::step], DICTIONARY)
+    texts = [t for t, _ in by[1]]
+    sizes = [min(DICTIONARY, max(SMALLEST, TIMES * sum(len(x) + 1 for x in found))) for found in (marks, forms)]
+    return [Model(ordinary, _train(_told(texts, marks, whole), size)) for whole, size in zip((False, True), sizes)]
 
 
 def trained(rows: list[tuple[int | None, str, int, str | None]]) -> Model:
