@@ -1,28 +1,32 @@
 """Shards of nearly equal bytes by a k-d tree over row metadata, in DataFrame operations only.
 
-A node that has to become m shards is split at the weighted quantile floor(m/2)/m of its bytes, along the dimension in
-which it is widest (relative to the whole table). The quantile is found by histograms over all rows, refined until a
-bin is negligible; a job handles all nodes of a level, and the driver sees a bounded number of bins per node.
+Dimensions are the text's bytes and code points (on a logarithmic scale) and its group's categories (language, source),
+by a hash of each, so that a category is one place. A node that has to become m shards is split at the weighted quantile
+floor(m/2)/m of its bytes, along the dimension in which it is widest (relative to the whole table). The quantile is found
+by histograms over all rows, refined until a bin is negligible; a job handles all nodes of a level, and the driver sees a
+bounded number of bins per node.
 
-Coordinates are finished with a hash of the text, so rows of equal text stay together; only groups that hold over a
-fiftieth of a shard are dealt by identifier as well.
+Rows of equal text take the least of their categories, and coordinates are finished with a hash of the text, so equal
+texts stay together; only groups that hold over WHOLE of a shard are dealt by identifier as well.
 
-Nulls: a null text has no bytes, a null dimension counts as the smallest value. Equal rows share a shard where their
-group does, and get slots of their own. An empty table gives an empty result.
+Nulls: a null text has no bytes, a null category is a category. Equal rows share a shard where their group does, and get
+slots of their own. An empty table gives an empty result. Columns that aren't there are no dimensions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, small_side
 
-BINS, SCALE = 1024, (1 << 31) - 1
+BINS, SCALE = 4096, (1 << 31) - 1
 #: A quantile is exact enough if the bin around it has this share of a shard's bytes.
 SHARE = 1 / 2000
+#: Share of a shard's bytes up to which rows of equal text stay whole; the rows of a larger group still stand together, and only a split that falls among them parts them.
+WHOLE = 1 / 25
 
 
 def _choose(tree, codes: list[str], leaf: Callable[[dict], Column]) -> Column:
@@ -36,7 +40,7 @@ def _leaves(tree) -> list[dict]:
     return [tree] if "split" not in tree else _leaves(tree["low"]) + _leaves(tree["high"])
 
 
-def kd_tree(points: DataFrame, dims: list[str], weight: str, tie: str, shards: int) -> tuple[DataFrame, dict]:
+def kd_tree(points: DataFrame, dims: Sequence[str], weight: str, tie: str, shards: int) -> tuple[DataFrame, dict]:
     """points with codes c0, c1, ... of its dimensions, and the tree whose leaves have `shards` 1. tie: a column of 32-bit hashes."""
     ends = points.agg(F.sum(weight), *[f(F.coalesce(F.col(d), F.lit(0))).cast("double") for d in dims for f in (F.min, F.max)]).first()
     total, bounds = ends[0] or 0, [(ends[1 + 2 * i] or 0.0, ends[2 + 2 * i] or 0.0) for i in range(len(dims))]
@@ -69,14 +73,14 @@ def kd_tree(points: DataFrame, dims: list[str], weight: str, tie: str, shards: i
             binned = here.where(F.col("node").isin(list(of))).withColumns({"code": code, "lo": pick("lo"), "hi": pick("hi"), "step": pick("step")}).where("code >= lo AND code < hi")
             for no, x in of.items():
                 x["bins"] = {}
-            for r in binned.groupBy("node", F.expr("(code - lo) DIV step").alias("bin")).agg(F.sum(weight).alias("w")).collect():
-                of[r["node"]]["bins"][r["bin"]] = r["w"]
+            for r in binned.groupBy("node", F.expr("(code - lo) DIV step").alias("bin")).agg(F.sum(weight).alias("w"), F.min("code").alias("least"), F.max("code").alias("most")).collect():
+                of[r["node"]]["bins"][r["bin"]] = (r["w"], r["least"], r["most"] + 1)
             for x in busy:
                 for k in sorted(x["bins"]):
-                    if x["below"] + x["bins"][k] >= x["want"]:
+                    x["in"], x["lo"], x["hi"] = x["bins"][k]  # no further than its rows reach
+                    if x["below"] + x["in"] >= x["want"]:
                         break
-                    x["below"] += x["bins"][k]
-                x["lo"], x["hi"], x["in"] = x["lo"] + k * x["step"], min(x["hi"], x["lo"] + (k + 1) * x["step"]), x["bins"][k]
+                    x["below"] += x["in"]
         for x in open_:
             after = x["below"] + x["in"] - x["want"] < x["want"] - x["below"]
             m = x["shards"] // 2
@@ -84,9 +88,11 @@ def kd_tree(points: DataFrame, dims: list[str], weight: str, tie: str, shards: i
     return points, root
 
 
-def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, overhead: int = 8) -> DataFrame:
+def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: Sequence[str] = ("lang", "source"), shards: int = 24, overhead: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard (null: this law doesn't grow)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    low = lambda h: F.pmod(h, F.lit(1 << 32))
+    kinds = [f"k{i}" for i, c in enumerate(c for c in categories if c in df.columns)]
     rows = materialise(
         df.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -94,20 +100,23 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.char_length(text).alias("points"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("content"),
+            *[low(F.xxhash64(c)).alias(k) for k, c in zip(kinds, (c for c in categories if c in df.columns))],
         ),
         "metadata",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    # At most 50 times as many groups as shards can be this large.
-    large = rows.groupBy("content").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > total / shards / 50).select("content", F.lit(True).alias("large"))
-    low = lambda h: F.pmod(h, F.lit(1 << 32))
-    tied = rows.join(F.broadcast(large), "content", "left").withColumn("tie", F.when(F.col("large"), low(F.xxhash64("doc_id", "content"))).otherwise(low(F.xxhash64("content"))))
-    points, tree = kd_tree(tied, ["size", "points", "text_crc32"], "size", "tie", shards)
-    codes = ["c0", "c1", "c2"]
+    total, count = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
+    groups = rows.groupBy(F.col("content").alias("group")).agg(F.sum("size").alias("bytes"), *[F.min(k).alias(f"of_{k}") for k in kinds])
+    large = F.col("bytes") > (total or 0) / shards * WHOLE
+    tied = rows.join(groups, F.col("content") == F.col("group")).select(
+        "doc_id", "size", "text_crc32", "content", F.log1p("size").alias("bytes"), F.log1p("points").alias("points"), *[F.col(f"of_{k}").alias(k) for k in kinds],
+        F.when(large, F.pmod(F.xxhash64("content"), F.lit(1 << 16)) * (1 << 16) + F.pmod(F.xxhash64("doc_id", "content"), F.lit(1 << 16))).otherwise(low(F.xxhash64("content"))).alias("tie"),
+    )
+    points, tree = kd_tree(materialise(tied, "tied"), ["bytes", "points", *kinds], "size", "tie", shards)
+    codes = [f"c{i}" for i in range(2 + len(kinds))]
     leaves = _leaves(tree)
     for i, x in enumerate(leaves):
         x["no"] = i
-    blocks = max(1, rows.count() // shards // 5000)
+    blocks = max(1, count // shards // 5000)
     placed = points.select(
         "doc_id", "size", "text_crc32", _choose(tree, codes, lambda x: F.lit(x["no"])).alias("shard"), F.pmod(F.xxhash64("doc_id", "content"), F.lit(blocks)).alias("block")
     )
