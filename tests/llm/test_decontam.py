@@ -81,3 +81,23 @@ def test_documents_shorter_than_an_item(spark, docs):
     got = {(r["doc_id"], r["item_id"]): (r["start_shingle"], r["n_shingles"], r["similarity"]) for r in contaminated(docs(rows), spark.createDataFrame(items, ITEM)).collect()}
     assert want[5, 1][2] == 50 / 55 and (13, 1) in want and (14, 1) not in want and (70, 1) in want and (80, 2) in want
     assert {k: v for k, v in got.items() if k not in want_longer} == want and want.keys() | want_longer.keys() == got.keys()
+
+
+def test_recall_at_the_threshold(spark, docs):
+    """Passages that are just similar enough, whose fingerprints differ the most."""
+    rng = random.Random(3)
+    items = [(i, " ".join(rng.choices([f"v{j}" for j in range(900)], k=rng.choice([30, 44, 60])))) for i in range(40)]
+    rows = []
+    for d in range(400):
+        w = rng.choice(items)[1].split()
+        for _ in range(50):
+            x = list(w)
+            for at in rng.sample(range(len(x)), rng.randint(1, 3)):
+                x[at] = f"e{rng.randrange(99)}"
+            t = " ".join(["b"] * rng.randint(0, 9) + x + ["a"] * rng.randint(0, 9))
+            if any(0.75 <= v < 0.8 for v in brute([(d, t)], items).values()):
+                rows.append((d, t))
+                break
+    want = brute(rows, items)
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(docs(rows), spark.createDataFrame(items, ITEM)).collect()}
+    assert len(want) > 150 and got <= want.keys() and len(got) >= 0.99 * len(want)
