@@ -161,12 +161,12 @@ def brute_model(texts, order):
     return logs
 
 
-@pytest.mark.parametrize("shard", [4_000_000, 300])
+@pytest.mark.parametrize("shard", [4_000_000, 300, 20])
 def test_kneser_ney_equals_its_formulas(spark, docs, monkeypatch, shard):
     monkeypatch.setattr(kneser_ney, "SHARD", shard)
     texts = ["the cat sat on the mat\nand the dog ran", "a cat and a dog sat", "é là ça été", "the the the the"]
     model = kneser_ney.fit(docs(texts))
-    assert (model.shards > 1) == (shard == 300)
+    assert (model.shards > 1) == (shard <= 300)
     ask = ["the dog sat on a mat", "zzz qqq", "été", "x"]
     got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.perplexities(docs(ask).select("doc_id", "text"), model).collect()}
     logs = brute_model(texts, kneser_ney.ORDER)
@@ -174,10 +174,41 @@ def test_kneser_ney_equals_its_formulas(spark, docs, monkeypatch, shard):
         assert got[i] == pytest.approx(math.exp(-np.mean(logs(t))), rel=1e-4)
 
 
+def test_thresholds_equal_brute_force(spark, docs, monkeypatch):
+    """Perplexities, thresholds and decisions of a small table, from the formulas: each half of the trusted under the other half's model."""
+    monkeypatch.setattr(kneser_ney, "ENOUGH", 10)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", "été"], k=rng.randint(1, 12))), rng.choice(["en", "fr", None])) for i in range(60)]
+    rows += [(60 + i, "".join(rng.choices("xqz#", k=rng.randint(5, 30))), "en") for i in range(8)] + [(70, None, "en"), (71, "", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = {i for i in range(60) if i % 3}
+    got = {r["doc_id"]: r for r in kneser_ney.classify(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), quantile=0.9).collect()}
+    part = {r["doc_id"]: r["p"] for r in df.selectExpr("doc_id", "pmod(xxhash64(text), 2) AS p").collect()}
+    logs = [brute_model([t for i, t, _ in rows if i in trusted and (k == 2 or part[i] == k)], kneser_ney.ORDER) for k in (0, 1, 2)]
+    own = {i: logs[1 - part[i]](t) for i, t, _ in rows if i in trusted}
+    usual = -sum(map(sum, own.values())) / sum(map(len, own.values()))
+    smooth = lambda x: math.exp((-sum(x) + kneser_ney.PRIOR * usual) / (len(x) + kneser_ney.PRIOR))
+    rank = lambda v: sorted(v)[max(0, math.ceil(0.9 * len(v)) - 1)]
+    by = defaultdict(list)
+    for i, _, lang in rows:
+        if i in trusted:
+            by[lang].append(smooth(own[i]))
+    every = rank([v for x in by.values() for v in x])
+    for i, t, lang in rows:
+        limit = rank(by[lang]) if lang and len(by[lang]) >= 10 else every
+        assert got[i]["threshold"] == pytest.approx(limit, rel=1e-3)
+        if not t:
+            assert got[i]["perplexity"] is None and not got[i]["kept"]
+        else:
+            value = smooth(logs[2](t))
+            assert got[i]["perplexity"] == pytest.approx(value, rel=1e-3) and (got[i]["kept"] == (value <= limit) or abs(value / limit - 1) < 1e-3)
+    assert not any(got[60 + i]["kept"] for i in range(8))
+
+
 def test_quality_keeps_the_trusted(spark):
     rows = queries.op3_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     good, bad = [r["kept"] for r in rows if r["quality"] == 1], [r["kept"] for r in rows if r["quality"] == 0]
-    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.4
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.15
 
 
 def test_quality_edges(spark, docs):
