@@ -12,14 +12,18 @@ repeated rows and an empty table need no care; only the two named columns are re
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm.words import slices
+from rasterloom.llm.words import slices, trim
 
 #: The byte-level pattern of the vocabulary's pre-tokenizer (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -92,63 +96,63 @@ class Codec:
         return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
 
 
-def _codec(data) -> Codec:
-    if (c := getattr(_codec, "kept", None)) is None or c[0] != data.id:
-        c = _codec.kept = (data.id, Codec(data.value))
-    return c[1]
+@contextmanager
+def _codec(sent: Broadcast) -> Iterator[Codec]:
+    """A task's codec. It goes with the task: workers live on, and their next tasks need the memory."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # threads of its own each come with a heap of their own
+    codec = Codec(sent.value)
+    try:
+        yield codec
+    finally:
+        vars(codec).clear()
+        gc.collect()
+        trim()
 
 
-class _Vocabulary:
-    """A broadcast vocabulary file (a megabyte or two) with an id by which workers keep its codec."""
-
-    def __init__(self, spark, path: str):
-        with open(path, "rb") as f:
-            raw = f.read()
-        self.id, self.sent = hashlib.sha1(raw).hexdigest(), spark.sparkContext.broadcast(raw)
-
-    @property
-    def value(self) -> bytes:
-        return self.sent.value
+def _vocabulary(spark: SparkSession, path: str | None) -> Broadcast:
+    """A vocabulary file (a megabyte or two)."""
+    with open(path or default_vocabulary(), "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """doc_id, ids array<int>: the ids of every whole text."""
-    data = _Vocabulary(df.sparkSession, vocabulary or default_vocabulary())
+    data = _vocabulary(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data)
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int32) for x in codec.encode(_texts(b))], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with _codec(data) as codec:
+            for b in slices(batches):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int32) for x in codec.encode(_texts(b))], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """doc_id, text: ids joined with the table of pieces, special tokens included; null ids decode as an empty text."""
-    data = _Vocabulary(df.sparkSession, vocabulary or default_vocabulary())
+    data = _vocabulary(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data)
-        for b in batches:
-            texts = [codec.decode(np.array(x or [], dtype=np.int64)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        with _codec(data) as codec:
+            for b in batches:
+                texts = [codec.decode(np.array(x or [], dtype=np.int64)) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return df.selectExpr(f"`{id_col}` AS doc_id", f"`{ids_col}` AS ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Encode and decode every text and keep counts and digests only, without moving ids between processes."""
-    data = _Vocabulary(df.sparkSession, vocabulary or default_vocabulary())
+    data = _vocabulary(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data)
-        for b in slices(batches):
-            n, of_ids, of_text = [], [], []
-            for ids in codec.encode(_texts(b)):
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _codec(data) as codec:
+            for b in slices(batches):
+                n, of_ids, of_text = [], [], []
+                for ids in codec.encode(_texts(b)):
+                    n.append(len(ids))
+                    of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                    of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, DIGESTS)
 

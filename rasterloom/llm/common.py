@@ -47,13 +47,40 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder once and read it back: later plans don't recompute it, and it survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    with small_batches(spark):
+#: Paths of the tables that each open scratch scope has written.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end, but for those with keep, which belong to the scope around, if any."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written to a new folder of the shared one and read back, and that folder."""
+    path = new_folder(df.sparkSession, name)
+    with small_batches(df.sparkSession):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder once and read it back: later plans don't recompute it, and it survives lost executors."""
+    out, path = written(df, name)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
+    return out
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import BROADCAST_ROWS, materialise, small_side
+from rasterloom.llm.common import BROADCAST_ROWS, materialise, scratch, small_side
 
 SHINGLE, RADIUS, SIMILARITY, BITS = 5, 21, 0.75, 64
 BETWEEN = r"[^\\p{L}\\p{M}\\p{N}]+"
@@ -54,6 +54,15 @@ def _blocks(radius: int) -> str:
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, with_content: bool = False) -> DataFrame:
     """One row per document and item in it: doc_id, item_id, start_shingle, n_shingles, similarity (of the best window), and content, a hash of the text, if asked for."""
+    with scratch(docs.sparkSession):
+        verified = materialise(_verified(docs, items, id_col, text_col, item_col, item_text, similarity, radius), "verified", keep=True)
+    keys = ["doc_id", "item_id", *(["content"] if with_content else [])]
+    best = verified.groupBy(*keys).agg(F.max(F.struct("similarity", F.expr("-s AS before"), "size")).alias("best"))
+    return best.selectExpr(*keys, "-best.before AS start_shingle", "best.size AS n_shingles", "best.similarity")
+
+
+def _verified(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, similarity: float, radius: int) -> DataFrame:
+    """doc_id, content, item_id, s, size, similarity of every window that is similar enough to an item."""
     given = items.selectExpr(f"`{item_col}` AS item_id", f"`{item_text}` AS item")
     item = materialise(shingled(given, "item", "item_id").withColumn("m", F.size("sh")).withColumn("no", F.monotonically_increasing_id()), "items")
     rows = item.selectExpr("no", "m", "explode(sh) AS h")
@@ -84,7 +93,4 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     of_windows = times(windows.join(pairs.select("window").distinct(), "window", "left_semi").selectExpr("window", "explode(part) AS h"), "window")
     shared = pairs.join(of_windows, "window").join(small_side(times(rows, "no")), ["no", "h"]).groupBy("window", "no").agg(F.sum(F.least("times_window", "times_no")).alias("common"))
     sets = shared.join(windows.selectExpr("window", "doc_id", "content", "m", "s", "size(part) AS size"), "window").join(small_side(item.select("no", "item_id")), "no")
-    verified = sets.withColumn("similarity", F.expr("common / (size + m - common)")).where(F.col("similarity") >= similarity)
-    keys = ["doc_id", "item_id", *(["content"] if with_content else [])]
-    best = verified.groupBy(*keys).agg(F.max(F.struct("similarity", F.expr("-s AS before"), "size")).alias("best"))
-    return best.selectExpr(*keys, "-best.before AS start_shingle", "best.size AS n_shingles", "best.similarity")
+    return sets.withColumn("similarity", F.expr("common / (size + m - common)")).where(F.col("similarity") >= similarity).select("doc_id", "content", "item_id", "s", "size", "similarity")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, new_folder, small_side
+from rasterloom.llm.common import materialise, new_folder, scratch, small_side
 from rasterloom.llm.words import buffers, signed, slices, trim
 
 #: Order of the model, n-grams a task gathers before it merges their counts, rows of a shard, bytes of text worked off at once, and so many slices at most where a model has several shards.
@@ -86,7 +86,12 @@ def fit(texts: DataFrame) -> "Model":
 
 
 def fit_parts(texts: DataFrame) -> dict[int, "Model"]:
-    """Count, discount and interpolate, for either part of the texts and for all; the tables of the models stay in the shared folder."""
+    """Count, discount and interpolate, for either part of the texts and for all; the shards of the models stay in the shared folder."""
+    with scratch(texts.sparkSession):
+        return _fit_parts(texts)
+
+
+def _fit_parts(texts: DataFrame) -> dict[int, "Model"]:
     halves = materialise(counted(texts), "counts")
     whole = halves.groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("part"), "key", "n")
     counts = {ORDER: materialise(halves.unionByName(whole), "counts")}

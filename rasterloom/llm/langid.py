@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, small_side
+from rasterloom.llm.common import materialise, scratch, small_side
 from rasterloom.llm.words import slices
 
 #: Longest and shortest n-grams, labelled rows per language, entries per language and kind, words a worker remembers.
@@ -55,6 +55,11 @@ def sampled(df: DataFrame, ident: str, label: str, sample: int) -> DataFrame:
 
 def fit(df: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> "Model":
     """df: doc_id, text, lang of the rows to learn from."""
+    with scratch(df.sparkSession):
+        return _fit(df, sample, vocabulary)
+
+
+def _fit(df: DataFrame, sample: int, vocabulary: int) -> "Model":
     rows = sampled(df.where("lang IS NOT NULL AND text IS NOT NULL"), "doc_id", "lang", sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

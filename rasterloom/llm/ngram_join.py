@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, partitions, small_side
+from rasterloom.llm.common import materialise, partitions, scratch, small_side
 from rasterloom.llm.components import components
 from rasterloom.llm.words import hashed_words, mix, new_key, shingles, signed, slices, trim
 
@@ -188,8 +188,16 @@ def _shared(packed: DataFrame, buckets: int, positions: bool) -> DataFrame:
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, with_content: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included), and content, a hash of the text, if asked for."""
-    spark = df.sparkSession
-    buckets = 2 * partitions(spark)
+    with scratch(df.sparkSession):
+        rows, of_class = _classes(df, id_col, text_col, k, percent)
+        of_class = materialise(of_class, "component-ids", keep=True)
+    out = rows.join(of_class, "cls", "left")
+    return out.select("doc_id", *(["content"] if with_content else []), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, content, n_shingles, cls of every row, and cls, component_id of every class."""
+    buckets = 2 * partitions(df.sparkSession)
     docs = df.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"`{text_col}` AS text", f"xxhash64(`{text_col}`) AS content")
 
     key = new_key()
@@ -199,7 +207,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             got = [(len(x), class_of(x).view(np.int64) if len(x) else None, y.view(np.int64)) for x, y in sets_of(b.column(1), k, key)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in list(zip(*got)) or [[]] * 3)], ["doc_id", "content", "n_shingles", "cls", "check"])
 
-    rows = materialise(docs.mapInArrow(classes, "doc_id long, content long, n_shingles long, cls long, check long"), "classes")
+    rows = materialise(docs.mapInArrow(classes, "doc_id long, content long, n_shingles long, cls long, check long"), "classes", keep=True)
     # Different sets with one hash: about one in 2**64 pairs, so these few are sent to all tasks; they go by their second hash.
     clash = rows.groupBy("cls").agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least != most").select("cls")
     clash = frozenset(r["cls"] for r in clash.limit(CLASHES + 1).collect())
@@ -256,11 +264,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     more = materialise(_verified(rest.join(stars, ["a", "b"], "left_anti"), whole, k, percent), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more))
-    named = reps.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "component").select("cls", "component_id")
-    out = rows.join(of_class, "cls", "left")
-    return out.select("doc_id", *(["content"] if with_content else []), "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    members = reps.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows, members.join(least, "component").select("cls", "component_id")
 
 
 _SIZES = "100 * least({n}, {m}) >= {p} * greatest({n}, {m})"

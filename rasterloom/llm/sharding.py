@@ -20,7 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, small_side
+from rasterloom.llm.common import materialise, scratch, small_side
 
 BINS, SCALE = 4096, (1 << 31) - 1
 #: A quantile is exact enough if the bin around it has this share of a shard's bytes.
@@ -90,6 +90,18 @@ def kd_tree(points: DataFrame, dims: Sequence[str], weight: str, tie: str, shard
 
 def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: Sequence[str] = ("lang", "source"), shards: int = 24, overhead: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard (null: this law doesn't grow)."""
+    with scratch(df.sparkSession):
+        placed = _placed(df, id_col, text_col, categories, shards, overhead)
+    sizes = placed.groupBy("shard", "block").count()
+    before = sizes.select("shard", "block", (F.sum("count").over(Window.partitionBy("shard").orderBy("block")) - F.col("count")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32"))
+    return placed.withColumn("nth", nth).join(small_side(before), ["shard", "block"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def _placed(df: DataFrame, id_col: str, text_col: str, categories: Sequence[str], shards: int, overhead: int) -> DataFrame:
+    """doc_id, size, text_crc32, shard, block: blocks of a shard are numbered each on its own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = lambda h: F.pmod(h, F.lit(1 << 32))
     kinds = [f"k{i}" for i, c in enumerate(c for c in categories if c in df.columns)]
@@ -120,10 +132,4 @@ def shard_by_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = points.select(
         "doc_id", "size", "text_crc32", _choose(tree, codes, lambda x: F.lit(x["no"])).alias("shard"), F.pmod(F.xxhash64("doc_id", "content"), F.lit(blocks)).alias("block")
     )
-    placed = materialise(placed, "placed")
-    sizes = placed.groupBy("shard", "block").count()
-    before = sizes.select("shard", "block", (F.sum("count").over(Window.partitionBy("shard").orderBy("block")) - F.col("count")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32"))
-    return placed.withColumn("nth", nth).join(small_side(before), ["shard", "block"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("before") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    return materialise(placed, "placed", keep=True)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, partitions
+from rasterloom.llm.common import materialise, partitions, scratch
 from rasterloom.llm.words import hashed_words, mix, new_key, sequences, signed, slices, word_bounds, word_hashes
 
 #: Words of a selected k-gram, and distinct regions that one automaton holds.
@@ -145,7 +145,8 @@ def _applied(df: DataFrame, id_col: str, text_col: str, window: int, digests: bo
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), text.alias("text"))
-    found = materialise(_repeats(docs, window), "repeats")
+    with scratch(spark):
+        found = materialise(_repeats(docs, window), "repeats", keep=True)
     # A set: rows equal in identifier and text bring the same marks.
     marks = found.groupBy("doc_id", "content").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
     joined = docs.join(marks.withColumnsRenamed({"doc_id": "id2", "content": "content2"}), F.expr("doc_id <=> id2 AND content = content2"), "left")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, small_side
+from rasterloom.llm.common import materialise, scratch, small_side
 from rasterloom.llm.langid import sampled
 from rasterloom.llm.words import slices
 
@@ -233,6 +233,11 @@ def _calibrate(model: Model, checks: list[tuple[Model, dict[int, list[tuple[str,
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text and lang, if there is one; labels: doc_id, toxic (0 or 1) of the rows to learn from. Labels are sampled before texts are looked at."""
+    with scratch(docs.sparkSession):
+        return trained(_sample(docs, labels, sample))
+
+
+def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int | None, str, int, str | None]]:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.where("text IS NOT NULL").select("doc_id", lang.alias("lang"), "text")
     strata = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).join(docs.select("doc_id", "lang").distinct(), "doc_id")
@@ -241,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = small_side(chosen.select(F.col("doc_id").alias("id2"), F.col("lang").alias("lang2"), "toxic"))
     rows = docs.join(chosen, F.expr("doc_id = id2 AND lang <=> lang2"))
     found = ((r["doc_id"], r["text"], r["toxic"], r["lang"]) for r in rows.select("doc_id", "text", "toxic", "lang").toLocalIterator())
-    return trained(sorted(found, key=lambda r: (r[:3], r[3] or "")))
+    return sorted(found, key=lambda r: (r[:3], r[3] or ""))
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
