@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bpe, decontam, exact, kneser_ney, ngram_join
-from rasterloom.llm.common import materialise, small_side, table
+from rasterloom.llm.common import delete, materialise, scratch, small_side, table, written
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -60,7 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
