@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterloom.llm.common import materialise
 from rasterloom.llm.words import slices, trim
 
 #: The byte-level pattern of the vocabulary's pre-tokenizer (a fixed value).
@@ -72,8 +73,10 @@ class Codec:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids (little-endian, 32 bits each) of words that the table lacks; each is encoded once."""
-        new = list(words)
-        got = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
+        new, got = list(words), {}
+        for i in range(0, len(new), 4096):  # encodings hold much more than ids
+            part = new[i : i + 4096]
+            got |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False))}
         if len(self.table) + len(got) > REMEMBERED:
             self.table = {}
         if len(got) <= REMEMBERED:
@@ -154,7 +157,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                     of_text.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, DIGESTS)
+    # Written here, where batches are small; a digest is a hundredth of its text.
+    return materialise(df.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, DIGESTS), "digests", keep=True)
 
 
 def _texts(b: pa.RecordBatch) -> list[str]:
