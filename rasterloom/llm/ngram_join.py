@@ -7,8 +7,9 @@ three is by another hash. A pair must share enough of its prefixes under all of
 
 Documents with equal sets are one class, joined once. A class goes by a hash of its set, and a second one, under a key
 drawn for the run, finds different sets that share the first. Links are verified by comparing words, not hashes. To find components, the members of a token's list are first
-compared with one of them, the one with the fewest rare tokens before it (each set with that of most of its lists);
-pairs inside a component that this links need no comparison, all others get it. No list, class or component is collected anywhere.
+compared with one of them, the one with the fewest rare tokens before it (each set with that of most of its lists), then
+long lists are dealt into small parts, twice, and compared within these; pairs inside a component that this links need no
+comparison, all others get it. No list, class or component is collected anywhere.
 
 Nulls: a null text counts as empty; an empty set links with nothing. A row with a null identifier links with nothing
 and has a null component. Equal rows are one class. An empty table gives an empty result. Only the two named columns
@@ -30,6 +31,8 @@ from rasterloom.llm.words import hashed_words, mix, new_key, shingles, signed, s
 
 #: Postings that a task gathers before it emits them; tokens that the second order may put last, bytes of tokens a task counts at once, and how often it must meet one among them.
 FLUSH, FREQUENT, COUNTED, SEEN = 500_000, 131_072, 16 << 20, 2
+#: Rounds in which members of long lists are compared in parts of about so many before all are.
+ROUNDS, WIDTH = 2, 16
 #: Different sets with equal hashes that are put up with.
 CLASHES = 10_000
 _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
@@ -252,23 +255,40 @@ def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     most = near.groupBy("cls", F.col("c.cls").alias("cls2")).agg(F.count(F.lit(1)).alias("times")).groupBy("cls").agg(F.max(F.struct("times", "cls2")).alias("best"))
     stars = materialise(_pairs(most.select("cls", F.col("best.cls2").alias("cls2"))).distinct(), "stars")
     links = materialise(_verified(stars, whole, k, percent), "links")
-    found = components(links)
-    marked = materialise(shared.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "marked")
-    mixed = marked.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    open_ = marked.join(mixed, "token", "left_semi")
-    x, y = open_.select("token", "cls", "n", "pos", "component"), open_.selectExpr("token", "cls AS cls2", "n AS m", "pos AS pos2", "component AS component2")
-    # The first token in common is where both sets have room for the overlap from there on; later ones say nothing new.
-    room = f"{100 + percent} * least(n - pos, m - pos2) >= {percent} * (n + m)"
-    met = x.join(y, "token").where("cls < cls2 AND component != component2 AND " + _SIZES.format(n="n", m="m", p=percent) + " AND " + room)
-    rest = _pairs(met).distinct()
-    more = materialise(_verified(rest.join(stars, ["a", "b"], "left_anti"), whole, k, percent), "links")
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    found, tested, open_ = components(links), stars, shared
+    for salt in [*range(ROUNDS), None]:
+        open_ = materialise(_open(open_, found), "open")
+        met = _met(open_, percent, salt)
+        more = materialise(_verified(met.join(tested, ["a", "b"], "left_anti"), whole, k, percent), "links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            found = components(links)
+        if salt is not None:
+            tested = tested.unionByName(met)
     members = reps.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     return rows, members.join(least, "component").select("cls", "component_id")
 
 
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings of tokens in several components, with these."""
+    of = shared.select("token", "cls", "n", "pos").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = of.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("length")).where("x != y").select("token", "length")
+    return of.join(mixed, "token")
+
+
+def _met(open_: DataFrame, percent: int, salt: int | None) -> DataFrame:
+    """a, b: pairs across components that a token's list brings together; with a salt, only those that fall into one of the parts a long list is dealt into."""
+    if salt is not None:
+        open_ = open_.where(f"length > {4 * WIDTH}").withColumn("part", F.expr(f"pmod(xxhash64(token, cls, {salt}L), length DIV {WIDTH})"))
+    keys = ["token"] if salt is None else ["token", "part"]
+    x, y = open_.select(*keys, "cls", "n", "pos", "component"), open_.selectExpr(*keys, "cls AS cls2", "n AS m", "pos AS pos2", "component AS component2")
+    # The first token in common is where both sets have room for the overlap from there on; later ones say nothing new.
+    room = f"{100 + percent} * least(n - pos, m - pos2) >= {percent} * (n + m)"
+    pairs = _pairs(x.join(y, keys).where("cls < cls2 AND component != component2 AND " + _SIZES.format(n="n", m="m", p=percent) + " AND " + room)).distinct()
+    return pairs if salt is None else materialise(pairs, "met")
+
+
 _SIZES = "100 * least({n}, {m}) >= {p} * greatest({n}, {m})"
 
 
