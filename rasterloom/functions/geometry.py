@@ -55,6 +55,40 @@ def clipped_area(poly: Polygon, box: tuple[float, float, float, float]) -> float
     return parts[0] - sum(parts[1:]) if parts else 0.0
 
 
+def _overlap(a: tuple[float, ...], b: tuple[float, ...]) -> bool:
+    return a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+
+
+def union_area(polys: list[Polygon], box: tuple[float, float, float, float]) -> float:
+    """Area in a rectangle of what any of the polygons covers, overlaps counted once."""
+    cut = ([clip(ring, box) for ring in poly] for poly in polys)
+    parts = [p for p in ([r for r in rings if len(r) > 2] for rings in cut) if p]
+    boxes = [bounds([p]) for p in parts]
+    if not any(_overlap(a, b) for i, a in enumerate(boxes) for b in boxes[:i]):
+        return sum(clipped_area(p, box) for p in parts)
+    edges = [(i, *e) for i, p in enumerate(parts) for e in _edges(p) if e[1] != e[3]]
+    heights = {y for _, _, y1, _, y2 in edges for y in (y1, y2)}
+    for k, (_, ax, ay, bx, by) in enumerate(edges):  # where edges cross, slabs end, too
+        for _, cx, cy, dx, dy in edges[:k]:
+            turn = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if turn:
+                t, u = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / turn, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / turn
+                if 0 < t < 1 and 0 < u < 1:
+                    heights.add(ay + t * (by - ay))
+    total, levels = 0.0, sorted(heights)
+    for low, high in zip(levels, levels[1:]):
+        middle, at = (low + high) / 2, {}
+        for i, ax, ay, bx, by in edges:
+            if min(ay, by) <= low and max(ay, by) >= high:
+                at.setdefault(i, []).append(ax + (middle - ay) * (bx - ax) / (by - ay))
+        spans = sorted(pair for xs in at.values() for pair in zip(*[iter(sorted(xs))] * 2))
+        reach = -math.inf
+        for x1, x2 in spans:  # edges don't cross within a slab, so widths at its middle are means
+            total += max(0.0, x2 - max(x1, reach)) * (high - low)
+            reach = max(reach, x2)
+    return total
+
+
 def bounds(polys: list[Polygon]) -> tuple[float, float, float, float]:
     pts = np.array([p for poly in polys for ring in poly for p in ring], dtype=float)
     return (*pts.min(axis=0).tolist(), *pts.max(axis=0).tolist())
@@ -86,7 +120,7 @@ def classify_tile(polys: list[Polygon], box: tuple[float, float, float, float],
     corners = np.any([contains(p, x, y) for p in polys], axis=0)
     if corners.all():
         return "inside", 1.0
-    share = min(1.0, sum(clipped_area(p, box) for p in polys) / ((box[2] - box[0]) * (box[3] - box[1])))
+    share = min(1.0, union_area(polys, box) / ((box[2] - box[0]) * (box[3] - box[1])))
     if share == 0 and not corners.any():
         return "outside", 0.0
     return ("edge", share) if share < threshold else ("partial", share)
@@ -111,3 +145,26 @@ def to_utm(lon, lat, epsg: int) -> tuple[np.ndarray, np.ndarray]:
     east = 500_000 + UTM_SCALE * a * (eta + sum(k * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, k in enumerate(alpha, 1)))
     north = UTM_SCALE * a * (xi + sum(k * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, k in enumerate(alpha, 1)))
     return east, north + (10_000_000 if 32700 < epsg <= 32760 else 0)
+
+
+def from_utm(east, north, epsg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude; the inverse of to_utm."""
+    n = FLATTENING / (2 - FLATTENING)
+    a = UTM_SCALE * SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi = (np.asarray(north, float) - (10_000_000 if 32700 < epsg <= 32760 else 0)) / a
+    eta = (np.asarray(east, float) - 500_000) / a
+    x = xi - sum(k * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, k in enumerate(beta, 1))
+    y = eta - sum(k * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, k in enumerate(beta, 1))
+    chi = np.arcsin(np.sin(x) / np.cosh(y))
+    lat = chi + sum(k * np.sin(2 * j * chi) for j, k in enumerate(delta, 1))
+    return np.degrees(np.arctan2(np.sinh(y), np.cos(x))) + (epsg % 100) * 6 - 183, np.degrees(lat)
+
+
+def footprint(box: tuple[float, float, float, float], epsg: int) -> Ring:
+    """A rectangle's closed ring in degrees; its plane system is UTM, or degrees already."""
+    x, y = [box[0], box[2], box[2], box[0], box[0]], [box[1], box[1], box[3], box[3], box[1]]
+    if epsg != 4326:
+        x, y = (v.tolist() for v in from_utm(x, y, epsg))
+    return [(a, b) for a, b in zip(x, y)]

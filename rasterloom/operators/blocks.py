@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +22,25 @@ class EmptyTileError(ValueError):
 
 
 def to_blocks(df: DataFrame, keys: Sequence[str], bands: Sequence[str], width: int, height: int) -> DataFrame:
-    """One row per key with a row-major array per band; pixels that no row has are NULL. A block is bounded by the tile budget."""
-    cells = F.map_from_entries(F.collect_list(F.struct((F.col("row") * width + F.col("col")).cast("int").alias("i"), F.struct(*bands).alias("v"))))
-    got = df.where((F.col("row") < height) & (F.col("col") < width)).groupBy(*keys).agg(cells.alias("_m"))
-    array = lambda b: F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.element_at("_m", i)[b]).alias(b)
-    return got.select(*keys, F.lit(width).alias("width"), F.lit(height).alias("height"), *[array(b) for b in bands])
+    """One row per key with a row-major array per band; pixels that no row has are NULL, of several rows of a pixel each band's least valid value counts.
+
+    A block is gathered in one task: its size is bounded by the tile budget, and it is filled in time linear in its pixels.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), "width int", "height int", *(f"`{b}` array<{kind[b]}>" for b in bands)])
+
+    def fill(pixels: pa.Table) -> pa.Table:
+        at = pixels.column("row").to_numpy().astype(np.int64) * width + pixels.column("col").to_numpy()
+        one = pa.table([pa.array(at), *(pixels.column(b) for b in bands)], ["_at", *bands]).group_by("_at").aggregate([(b, "min") for b in bands])
+        place = np.full(width * height, -1, dtype=np.int64)
+        place[one.column("_at").to_numpy()] = np.arange(one.num_rows)
+        taken = pa.array(place, mask=place < 0)
+        arrays = [pa.ListArray.from_arrays(pa.array([0, width * height], pa.int32()), one.column(f"{b}_min").combine_chunks().take(taken)) for b in bands]
+        first = pixels.select(list(keys)).slice(0, 1)
+        return pa.table([*first.columns, pa.array([width], pa.int32()), pa.array([height], pa.int32()), *arrays], [*keys, "width", "height", *bands])
+
+    inside = (F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width)
+    return df.where(inside).select(*keys, "row", "col", *bands).groupBy(*keys).applyInArrow(fill, schema)
 
 
 def from_blocks(df: DataFrame, keys: Sequence[str], band: str, width: int) -> DataFrame:

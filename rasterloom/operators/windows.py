@@ -73,6 +73,26 @@ def join_windows(df: DataFrame, windows: DataFrame, at: str = "acquired_at", inc
     return df.join(F.broadcast(windows.select("w_start", "w_end", "label")), (day >= F.col("w_start")) & until)
 
 
+def assign(df: DataFrame, windows: list[Window], kind: str, size: int | None = None, step: int | None = None, at: str = "acquired_at", inclusive: bool = False) -> DataFrame:
+    """Rows with the `label` of their window. Calendar and fixed-day windows are found by a computed key, and one window by a filter; only others need a range join."""
+    spark, day = df.sparkSession, F.col(at).cast("date")
+    inside = lambda a, b: (day >= a) & ((day <= b) if inclusive else (day < b))
+    if len(windows) == 1:
+        return df.where(inside(F.lit(windows[0].start), F.lit(windows[0].end))).withColumn("label", F.lit(windows[0].label))
+    table = windows_df(spark, windows)
+    if kind in ("calendar_month", "calendar_year"):
+        keyed, table = df.withColumn("_key", calendar_key(F.col(at), kind)), table.withColumn("_key", calendar_key(F.col("w_start"), kind))
+    elif kind == "fixed_days":
+        start = windows[0].start
+        keyed = with_ordinals(df, start, windows[-1].end, size, step, at).withColumn("_key", F.col("w_start")).drop("k", "w_start")
+        table = table.withColumn("_key", F.col("w_start"))
+    else:
+        return join_windows(df, table, at, inclusive)
+    # A job's windows are a list that the driver has made.
+    met = keyed.join(F.broadcast(table.select("_key", "w_start", "w_end", "label")), "_key")
+    return met.where(inside(F.col("w_start"), F.col("w_end"))).drop("_key")
+
+
 def calendar_key(at: Column, kind: str) -> Column:
     """The month or year a timestamp is in, without a join; calendar windows don't overlap."""
     return F.trunc(at.cast("date"), {"calendar_month": "MM", "calendar_year": "YYYY"}[kind])

@@ -105,7 +105,9 @@ def composite_none_scene(spark, sf_dir):
     return comp.composite(df, ["month", "px"], ["nir"], "none", ("acquired_at", "scene_id"))
 
 
-@query("strategy_override")
+@query("strategy_override", """
+SELECT slug, wanted, CASE WHEN slug LIKE 'sentinel-1%' THEN 'mosaic' ELSE wanted END AS effective
+FROM (VALUES ('sentinel-1'), ('sentinel-1-rtc'), ('sentinel-2'), ('landsat-7'), ('landsat-8'), ('landsat-9')) d(slug) CROSS JOIN (VALUES ('median'), ('mean'), ('mosaic'), ('none')) w(wanted)""")
 def strategy_override(spark, sf_dir):
     rows = [(s, w, comp.effective_strategy(w, registry.get(s).composite_strategy_override)) for s in registry.list_slugs() for w in comp.STRATEGIES]
     return spark.createDataFrame(rows, "slug string, wanted string, effective string")
@@ -173,14 +175,14 @@ def _fixed(start: str, end: str, size: int, step: int) -> str:
 FROM generate_series(TIMESTAMP '{start}', TIMESTAMP '{end}' - INTERVAL {size - 1} DAY, INTERVAL {step} DAY) t(d)"""
 
 
-_windows("win_full_range", "SELECT DATE '2023-01-15' AS w_start, DATE '2023-06-30' AS w_end, '2023-01-15' AS label", date(2023, 1, 15), date(2023, 6, 30), "full_range")
-_windows("win_month_clip", """SELECT CAST(greatest(d, TIMESTAMP '2023-01-15') AS DATE) AS w_start, CAST(least(last_day(d), DATE '2023-03-30') AS DATE) AS w_end, strftime(d, '%Y-%m') AS label
-FROM generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2023-03-01', INTERVAL 1 MONTH) t(d)""", date(2023, 1, 15), date(2023, 3, 30), "calendar_month", label_format="%Y-%m")
-_windows("win_year_clip", """SELECT CAST(greatest(d, TIMESTAMP '2022-06-01') AS DATE) AS w_start, CAST(least(d + INTERVAL 1 YEAR - INTERVAL 1 DAY, TIMESTAMP '2024-04-01') AS DATE) AS w_end, strftime(d, '%Y') AS label
-FROM generate_series(TIMESTAMP '2022-01-01', TIMESTAMP '2024-01-01', INTERVAL 1 YEAR) t(d)""", date(2022, 6, 1), date(2024, 4, 1), "calendar_year", label_format="%Y")
-_windows("win_fixed_tumbling", _fixed("2023-01-15", "2023-06-30", 40, 40), date(2023, 1, 15), date(2023, 6, 30), "fixed_days", 40)
-_windows("win_fixed_sliding", _fixed("2023-01-01", "2023-03-31", 30, 10), date(2023, 1, 1), date(2023, 3, 31), "fixed_days", 30, 10)
-_windows("win_fixed_gapped", _fixed("2023-01-01", "2023-06-30", 10, 30), date(2023, 1, 1), date(2023, 6, 30), "fixed_days", 10, 30)
+_windows("win_full_range", "SELECT DATE '2021-02-03' AS w_start, DATE '2021-09-17' AS w_end, '2021-02-03' AS label", date(2021, 2, 3), date(2021, 9, 17), "full_range")
+_windows("win_month_clip", """SELECT CAST(greatest(d, TIMESTAMP '2021-02-03') AS DATE) AS w_start, CAST(least(last_day(d), DATE '2021-04-11') AS DATE) AS w_end, strftime(d, '%Y-%m') AS label
+FROM generate_series(TIMESTAMP '2021-02-01', TIMESTAMP '2021-04-01', INTERVAL 1 MONTH) t(d)""", date(2021, 2, 3), date(2021, 4, 11), "calendar_month", label_format="%Y-%m")
+_windows("win_year_clip", """SELECT CAST(greatest(d, TIMESTAMP '2018-11-09') AS DATE) AS w_start, CAST(least(d + INTERVAL 1 YEAR - INTERVAL 1 DAY, TIMESTAMP '2020-02-29') AS DATE) AS w_end, strftime(d, '%Y') AS label
+FROM generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2020-01-01', INTERVAL 1 YEAR) t(d)""", date(2018, 11, 9), date(2020, 2, 29), "calendar_year", label_format="%Y")
+_windows("win_fixed_tumbling", _fixed("2021-02-03", "2021-09-17", 40, 40), date(2021, 2, 3), date(2021, 9, 17), "fixed_days", 40)
+_windows("win_fixed_sliding", _fixed("2019-10-28", "2020-03-05", 21, 8), date(2019, 10, 28), date(2020, 3, 5), "fixed_days", 21, 8)
+_windows("win_fixed_gapped", _fixed("2020-12-06", "2021-05-19", 10, 25), date(2020, 12, 6), date(2021, 5, 19), "fixed_days", 10, 25)
 
 
 @query("win_anchor_labels", "SELECT * FROM (VALUES ('start', '2023-01-01'), ('end', '2023-01-31'), ('center', '2023-01-16')) t(anchor, label)")
@@ -432,6 +434,21 @@ def block_crop(spark, sf_dir):
     return blocks.crop(cells(spark, sf_dir), 2, 8, 8).select("vec_id", "col", "row", "value")
 
 
+#: Side of a block whose pixels are two rows each of lineitem, in part.
+LARGE = 600
+
+
+@query("block_large", f"""
+WITH c AS (SELECT l_orderkey * 7 % {LARGE} AS r, (l_partkey * 11 + l_linenumber) % {LARGE} AS c, l_quantity AS v FROM lineitem),
+     o AS (SELECT r, c, min(v) AS v FROM c GROUP BY 1, 2)
+SELECT CAST({LARGE * LARGE} AS INTEGER) AS n, count(v) AS n_valid, round(sum(v * ((r * {LARGE} + c) % 97)), 2) + 0.0 AS weighed FROM o""")
+def block_large(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select(F.lit("t").alias("tile"), (F.col("l_orderkey") * 7 % LARGE).alias("row"), ((F.col("l_partkey") * 11 + F.col("l_linenumber")) % LARGE).alias("col"), F.col("l_quantity").cast("double").alias("v"))
+    made = blocks.to_blocks(df, ["tile"], ["v"], LARGE, LARGE)
+    cell = made.select(F.size("v").alias("n"), F.posexplode("v").alias("i", "x"))
+    return cell.groupBy("n").agg(F.count("x").alias("n_valid"), F.round(F.sum(F.col("x") * (F.col("i") % 97)), 2).alias("weighed"))
+
+
 @query("block_arrays", f"SELECT vec_id, sum(CASE WHEN i = 0 THEN v END) AS first, sum(CASE WHEN i = 63 THEN v END) AS last, CAST(count(*) AS INTEGER) AS n FROM ({_CELL}) GROUP BY 1")
 def block_arrays(spark, sf_dir):
     made = blocks.to_blocks(cells(spark, sf_dir), ["vec_id"], ["value"], 8, 8)
@@ -456,13 +473,26 @@ def catalog_rows(spark, sf_dir):
 
 
 @query("stac_json", """
-SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS datetime, 'sentinel-2' AS platform FROM orders""")
+SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS datetime, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') AS end_datetime, 'sentinel-2' AS platform,
+       CAST(o_custkey % 360 - 180 AS DOUBLE) AS minx, -1.5::DOUBLE AS miny, CAST(o_custkey % 360 - 179 AS DOUBLE) AS maxx, 0.25::DOUBLE AS maxy FROM orders""")
 def stac_json(spark, sf_dir):
-    df = read(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS string) AS tile_id", "0D AS minx", "0D AS miny", "1D AS maxx", "1D AS maxy", "o_orderdate AS start", "o_orderdate + INTERVAL 1 DAY AS end")
+    df = read(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS string) AS tile_id", "CAST(o_custkey % 360 - 180 AS double) AS minx", "-1.5D AS miny", "CAST(o_custkey % 360 - 179 AS double) AS maxx", "0.25D AS maxy", "o_orderdate AS start", "o_orderdate + INTERVAL 1 DAY AS end")
     said = lambda p: F.get_json_object("stac", p)
-    return sinks.stac_json(df, "sentinel-2").select(said("$.id").alias("id"), said("$.properties.datetime").alias("datetime"), said("$.properties.platform").alias("platform"))
-
-
-@query("dataset_registry")
+    box = [said(f"$.bbox[{i}]").cast("double").alias(c) for i, c in enumerate(("minx", "miny", "maxx", "maxy"))]
+    return sinks.stac_json(df, "sentinel-2").select(said("$.id").alias("id"), said("$.properties.datetime").alias("datetime"), said("$.properties.end_datetime").alias("end_datetime"), said("$.properties.platform").alias("platform"), *box)
+
+
+# The known collections, as the registry's file has them; * marks a code band.
+@query("dataset_registry", """
+SELECT slug, collection, native_res, rtrim(split_part(b, '@', 1), '*') AS band, CAST(split_part(b, '@', 2) AS INTEGER) AS res, NOT contains(b, '*') AS scaled, contains(b, '*') AS internal,
+       cloud_mask, scale_factor, shift AS "offset", override
+FROM (SELECT *, unnest(string_split(bands, ' ')) AS b FROM (VALUES
+  ('sentinel-2', 'COPERNICUS/S2_SR_HARMONIZED', 10, 's2_scl_mask', 0.0001::DOUBLE, 0.0::DOUBLE, NULL, 'B1@60 B2@10 B3@10 B4@10 B5@20 B6@20 B7@20 B8@10 B8A@20 B9@60 B11@20 B12@20 SCL*@20'),
+  ('sentinel-1-rtc', 'OPERA/RTC/L2_V1/S1', 30, NULL, NULL, 0.0, 'mosaic', 'VV@30 VH@30 HV@30 HH@30 mask*@30'),
+  ('sentinel-1', 'COPERNICUS/S1_GRD', 10, NULL, NULL, 0.0, 'mosaic', 'VV@10 VH@10 angle@10'),
+  ('landsat-7', 'LANDSAT/LE07/C02/T1_L2', 30, 'landsat_qa_mask', 0.0000275, -0.2, NULL, 'SR_B1@30 SR_B2@30 SR_B3@30 SR_B4@30 SR_B5@30 SR_B7@30 QA_PIXEL*@30'),
+  ('landsat-8', 'LANDSAT/LC08/C02/T1_L2', 30, 'landsat_qa_mask', 0.0000275, -0.2, NULL, 'SR_B2@30 SR_B3@30 SR_B4@30 SR_B5@30 SR_B6@30 SR_B7@30 QA_PIXEL*@30'),
+  ('landsat-9', 'LANDSAT/LC09/C02/T1_L2', 30, 'landsat_qa_mask', 0.0000275, -0.2, NULL, 'SR_B2@30 SR_B3@30 SR_B4@30 SR_B5@30 SR_B6@30 SR_B7@30 QA_PIXEL*@30')
+) d(slug, collection, native_res, cloud_mask, scale_factor, shift, override, bands))""")
 def dataset_registry(spark, sf_dir):
     return registry.registry_df(spark)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import importlib
 import logging
+import shutil
 from datetime import timedelta
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import indices as ix
 from rasterloom.functions import masks
-from rasterloom.functions.geometry import bounds
+from rasterloom.functions.geometry import bounds, footprint
 from rasterloom.operators import bands as band_ops
 from rasterloom.operators import blocks, scenes, tiles
 from rasterloom.operators import composite as comp
@@ -27,6 +28,8 @@ from rasterloom.sources import registry, sinks
 from rasterloom.sources.vector import auto_tolerance, load_region
 
 log = logging.getLogger("rasterloom")
+#: Units after which progress is told.
+PROGRESS = 100
 
 
 def validate(config: JobConfig) -> list[str]:
@@ -115,20 +118,29 @@ class Job:
         c, scene_mode = self.config, any(w.scene_ids for w in windows)
         df = self.collection()
         df = comp.date_filter(df, min(w.start for w in windows), max(w.end for w in windows))
-        table = win.windows_df(self.spark, windows)
         if scene_mode:
+            table = win.windows_df(self.spark, windows)
             df = df.join(F.broadcast(table.select("label", F.explode("scene_ids").alias("scene_id"))), "scene_id")
         else:
-            df = win.join_windows(df, table)
+            w = c.composite.window
+            df = win.assign(df, windows, w.type, w.size, w.step)
         needed = [b for b in self.spec.band_names() if b in df.columns]
         strategy = comp.effective_strategy(c.composite.strategy, self.spec.composite_strategy_override, scene_mode)
         one = comp.composite(df, ["label", "x", "y"], needed, strategy)
         b = c.dataset.bands
         return band_ops.project(one, self.spec, b.select, b.order, b.rename, c.dataset.indices, b.scale_factor, b.offset, keys=["label", "x", "y"])
 
-    def blocks(self, windows: list[win.Window]) -> tuple[DataFrame, list[str]]:
-        """One row per tile and window with an array per band, clipped to the region where a tile is only partly in it."""
+    def staged(self, root: Path, windows: list[win.Window]) -> tuple[DataFrame, list[str]]:
+        """The composite, computed once: blocks, composites and a resumed run read what was written."""
         values, names = self.composite(windows)
+        path = root / "staged"
+        if not (path / "_SUCCESS").exists():
+            values.write.mode("overwrite").partitionBy("label").parquet(str(path))
+        return self.spark.read.schema(values.schema).parquet(str(path)), names
+
+    def blocks(self, windows: list[win.Window], staged: tuple[DataFrame, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
+        """One row per tile and window with an array per band, clipped to the region where a tile is only partly in it."""
+        values, names = staged or self.composite(windows)
         res = self.spec.native_res
         grid = self.tiles().drop("rminx", "rminy", "rmaxx", "rmaxy", "coverage", "hilbert")
         first = grid.agg(F.min(F.col("minx") - F.col("col") * (F.col("maxx") - F.col("minx"))), F.min(F.col("miny") - F.col("row") * (F.col("maxy") - F.col("miny"))), F.first(F.col("maxx") - F.col("minx"))).first()
@@ -148,6 +160,7 @@ class Job:
         if fresh:
             for p in root.glob("manifest.db*"):
                 p.unlink()
+            shutil.rmtree(root / "staged", ignore_errors=True)
         (root / "job.yaml").write_text(c.dump())
         windows = self.windows()
         units = tiles.work_units(self.tiles().select("tile_id"), win.windows_df(self.spark, windows).select("label"))
@@ -158,53 +171,79 @@ class Job:
             if retry_failed:
                 manifest.reset("failed")
             manifest.register(r["unit_id"] for r in units.select("unit_id").toLocalIterator())
-            todo = set(manifest.pending(with_failed=True))
-            self._hook(c.hooks.pre_download, c, None, len(todo))
-            if todo:
-                self._write(root, windows, manifest, todo)
+            todo = man.pending_units(units, manifest.frame(self.spark), with_failed=True)
+            left = manifest.pending(with_failed=True)
+            for r in man.units_per_window(todo).orderBy("label").collect():  # one row per window of the job's list
+                log.info("%s: %d units to do", r["label"], r["n"])
+            self._hook(c.hooks.pre_download, c, None, len(left))
+            if left:
+                self._write(root, windows, manifest, todo, left)
             counts = manifest.counts()
-            if not counts.get("failed") and not counts.get("pending"):
-                self._finish(root, windows)
+            if not counts.get("failed") and not counts.get("pending") and (left or not manifest.job(c.config_hash())[3]):
+                self._finish(root, windows, manifest)
                 manifest.complete_job(c.config_hash())
+                shutil.rmtree(root / "staged", ignore_errors=True)
             self._hook(c.hooks.post_job, c, counts)
             return counts
         finally:
             manifest.close()
 
-    def _write(self, root: Path, windows: list[win.Window], manifest: man.Manifest, todo: set[str]) -> None:
+    def _fields(self, windows: list[win.Window]) -> dict[str, dict[str, str]]:
+        """What a file name template may say besides tile and window."""
         c = self.config
-        made, names = self.blocks(windows)
-        wanted = self.spark.createDataFrame([(u,) for u in sorted(todo)], "unit_id string")
-        made = made.withColumn("unit_id", F.concat_ws("_", "tile_id", "label")).join(F.broadcast(wanted), "unit_id", "left_semi").drop("unit_id")
-        for u in todo:
-            manifest.claim(u)
-        files = sinks.tiff_writer(made, str(root / "tiles"), names, self.region.epsg, c.output.dtype, c.output.nodata, c.output.compression, c.output.format == "COG", c.output.structure.filename_template)
+        strategy = comp.effective_strategy(c.composite.strategy, self.spec.composite_strategy_override, any(w.scene_ids for w in windows))
+        return {w.label: {"dataset": self.spec.slug, "strategy": strategy, "date_start": f"{w.start}", "date_end": f"{w.end}"} for w in windows}
+
+    def _write(self, root: Path, windows: list[win.Window], manifest: man.Manifest, todo: DataFrame, left: list[str]) -> None:
+        """Files and documents of the units that are left; a unit that fails is marked, and the others go on."""
+        c, o = self.config, self.config.output
+        made, names = self.blocks(windows, self.staged(root, windows))
+        made = made.withColumn("unit_id", F.concat_ws("_", "tile_id", "label")).join(todo.select("unit_id"), "unit_id", "left_semi").drop("unit_id")
+        manifest.claim_all(left)
+        files = sinks.tiff_writer(
+            made, str(root / "tiles"), names, self.region.epsg, o.dtype, o.nodata, o.compression, o.format == "COG", o.structure.filename_template, self._fields(windows), c.pipeline.max_retries, c.pipeline.retry_base_delay
+        )
         boxes = {r["tile_id"]: tuple(r)[1:] for r in self.tiles().select("tile_id", "minx", "miny", "maxx", "maxy").toLocalIterator()}
-        of, seen = {w.label: w for w in windows}, set()
-        for r in files.toLocalIterator():
+        of, open_ = {w.label: w for w in windows}, set(left)
+        for n, r in enumerate(files.toLocalIterator(), 1):
             unit = f"{r['tile_id']}_{r['label']}"
-            seen.add(unit)
-            if r["path"] is None:
+            open_.discard(unit)
+            if r["error"]:
+                manifest.failed(unit, r["error"])
+                log.warning("%s failed: %s", unit, r["error"])
+            elif r["path"] is None:
                 manifest.empty(unit)
-                continue
-            w = of[r["label"]]
-            sinks.write_sidecar(r["path"], sinks.stac_item(unit, r["path"], boxes[r["tile_id"]], w.start, w.end, self.spec.slug, self.spec.native_res, names, {"valid_pixels": r["n_valid"]}))
-            manifest.done(unit, r["path"])
-            self._hook(c.hooks.post_tile, unit, r["path"], c)
-        for u in todo - seen:  # no observation at all
+            else:
+                w = of[r["label"]]
+                ring = footprint(boxes[r["tile_id"]], self.region.epsg)
+                sinks.write_sidecar(r["path"], sinks.stac_item(unit, r["path"], ring, w.start, w.end, self.spec.slug, self.spec.native_res, names, {"valid_pixels": r["n_valid"]}))
+                manifest.done(unit, r["path"])
+                self._hook(c.hooks.post_tile, unit, r["path"], c)
+            if n % PROGRESS == 0:
+                log.info("%d of %d units", n, len(left))
+        for u in open_:  # no observation at all
             manifest.empty(u)
 
-    def _finish(self, root: Path, windows: list[win.Window]) -> None:
-        values, names = self.composite(windows)
+    def _finish(self, root: Path, windows: list[win.Window], manifest: man.Manifest) -> None:
+        """Composites by window, one raster per window (and one per index), and the catalog."""
+        c, o = self.config, self.config.output
+        values, names = self.staged(root, windows)
         inside = tiles.inside_polygon(self.outline.polygons, F.col("x"), F.col("y"))
-        out = comp.unmask(values.where(inside), names, self.config.output.nodata)
+        out = comp.unmask(values.where(inside), names, o.nodata)
         sinks.write_composites(out, str(root / "composites"))
-        if self.config.output.structure.separate_indices and self.config.dataset.indices:
-            extra = [n for n in names if n not in self.spec.bands]
-            if extra:
-                sinks.write_by_band(out.select("label", "x", "y", *extra), ["label", "x", "y"], extra, str(root / "indices"))
-        if rows := sinks.read_sidecars(root / "tiles"):
-            sinks.write_catalog(root, rows, self.region.epsg)
+        apart = o.structure.separate_indices and bool(c.dataset.indices)
+        extra = [n for n in names if n not in self.spec.bands] if apart else []
+        if extra:
+            sinks.write_by_band(out.select("label", "x", "y", *extra), ["label", "x", "y"], extra, str(root / "indices"))
+        done = manifest.frame(self.spark).where("status = 'done'")
+        files = done.join(tiles.work_units(self.tiles().select("tile_id"), win.windows_df(self.spark, windows).select("label")).select("unit_id", "label"), "unit_id").select("label", F.col("output_path").alias("path"))
+        of = {w.label: w for w in windows}
+        for r in sinks.merge_tiles(files, str(root / "merged"), names, extra, self.region.epsg, o.dtype, o.nodata, o.compression, o.format == "COG").collect():  # a few rows per window
+            w, members = of[r["label"]], [r["name"]] if r["name"] != "main" else [n for n in names if n not in extra]
+            ring = footprint((r["minx"], r["miny"], r["maxx"], r["maxy"]), self.region.epsg)
+            sinks.write_sidecar(r["path"], sinks.stac_item(Path(r["path"]).stem, r["path"], ring, w.start, w.end, self.spec.slug, self.spec.native_res, members))
+        if rows := [*sinks.read_sidecars(root / "merged"), *sinks.read_sidecars(root / "tiles")]:
+            sinks.write_catalog(root, rows)
 
     @staticmethod
     def _hook(name: str | None, *args) -> None:

@@ -56,6 +56,12 @@ class Manifest:
     def claim(self, unit: str) -> bool:
         return self._move(unit, "in_flight", ("pending", "failed"), ", attempts = attempts + 1")
 
+    def claim_all(self, units: Iterable[str]) -> None:
+        """As claim() does, in one transaction."""
+        self.db.execute("BEGIN")
+        self.db.executemany("UPDATE unit SET status = 'in_flight', attempts = attempts + 1 WHERE unit_id = ? AND status IN ('pending', 'failed')", ((u,) for u in units))
+        self.db.execute("COMMIT")
+
     def done(self, unit: str, path: str) -> bool:
         return self._move(unit, "done", STATES, ", output_path = ?, completed_at = ?, last_error = NULL", (path, time.time()))
 
@@ -106,5 +112,9 @@ def new_units(units: DataFrame, manifest: DataFrame) -> DataFrame:
     return units.join(manifest.select("unit_id"), "unit_id", "left_anti")
 
 
+def units_per_window(units: DataFrame) -> DataFrame:
+    return units.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def status_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

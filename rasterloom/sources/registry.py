@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,39 +37,45 @@ class Dataset:
         return [b.name for b in self.bands.values() if internal or not b.internal]
 
 
-# The known collections. A band is name@resolution; ! marks a code band that isn't scaled or output.
-DATASETS = """
-sentinel-2     | COPERNICUS/S2_SR_HARMONIZED | 10 | B1@60 B2@10 B3@10 B4@10 B5@20 B6@20 B7@20 B8@10 B8A@20 B9@60 B11@20 B12@20 SCL@20!
-sentinel-1-rtc | OPERA/RTC/L2_V1/S1          | 30 | VV@30 VH@30 HV@30 HH@30 mask@30!
-sentinel-1     | COPERNICUS/S1_GRD           | 10 | VV@10 VH@10 angle@10
-landsat-7      | LANDSAT/LE07/C02/T1_L2      | 30 | SR_B1@30 SR_B2@30 SR_B3@30 SR_B4@30 SR_B5@30 SR_B7@30 QA_PIXEL@30!
-landsat-8      | LANDSAT/LC08/C02/T1_L2      | 30 | SR_B2@30 SR_B3@30 SR_B4@30 SR_B5@30 SR_B6@30 SR_B7@30 QA_PIXEL@30!
-landsat-9      | LANDSAT/LC09/C02/T1_L2      | 30 | SR_B2@30 SR_B3@30 SR_B4@30 SR_B5@30 SR_B6@30 SR_B7@30 QA_PIXEL@30!
-"""
-LANDSAT = {"cloud_mask": "landsat_qa_mask", "scale_factor": 2.75e-5, "offset": -0.2}
-DETAILS: dict[str, dict] = {
-    "sentinel-2": {"cloud_mask": "s2_scl_mask", "scale_factor": 0.0001},
-    "sentinel-1-rtc": {"composite_strategy_override": "mosaic"},
-    "sentinel-1": {"composite_strategy_override": "mosaic", "extra_filters": (("instrumentMode", "IW"), ("orbitProperties_pass", "DESCENDING"))},
-    "landsat-7": LANDSAT | {"slc_off_date": date(2003, 5, 31), "slc_off_coverage_loss": 0.22},
-    "landsat-8": LANDSAT,
-    "landsat-9": LANDSAT,
-}
+KNOWN = Path(__file__).with_name("datasets.yaml")
+_REQUIRED = {"collection", "native_res", "bands"}
+_OPTIONAL = {"cloud_mask", "scale_factor", "offset", "slc_off_date", "slc_off_coverage_loss", "composite_strategy_override", "date_property"}
+_registered: dict[str, Dataset] = {}
 
 
-@lru_cache(maxsize=1)
-def datasets() -> dict[str, Dataset]:
+def load(path: str | Path) -> dict[str, Dataset]:
+    """Datasets of a YAML file: by name collection, native_res, bands and code_bands (resolution by band), filters and further settings."""
+    import yaml
+
     out = {}
-    for line in DATASETS.strip().splitlines():
-        slug, collection, res, bands = (x.strip() for x in line.split("|"))
-        parsed = {}
-        for b in bands.split():
-            name, _, at = b.rstrip("!").partition("@")
-            parsed[name] = Band(name, int(at), scaled=not b.endswith("!"), internal=b.endswith("!"))
-        out[slug] = Dataset(slug, collection, parsed, int(res), **DETAILS[slug])
+    for slug, given in (yaml.safe_load(Path(path).read_text()) or {}).items():
+        if missing := _REQUIRED - set(given):
+            raise ValueError(f"dataset {slug} lacks {', '.join(sorted(missing))}")
+        if odd := set(given) - _REQUIRED - _OPTIONAL - {"code_bands", "filters"}:
+            raise ValueError(f"dataset {slug} has no setting {', '.join(sorted(odd))}")
+        bands = {b: Band(b, int(res)) for b, res in given["bands"].items()}
+        bands |= {b: Band(b, int(res), scaled=False, internal=True) for b, res in (given.get("code_bands") or {}).items()}
+        filters = tuple((k, str(v)) for k, v in (given.get("filters") or {}).items())
+        out[slug] = Dataset(slug, given["collection"], bands, int(given["native_res"]), extra_filters=filters, **{k: given[k] for k in _OPTIONAL & set(given)})
     return out
 
 
+def register(path: str | Path) -> list[str]:
+    """Add a file's datasets to the known ones, or put them in their places."""
+    found = load(path)
+    _registered.update(found)
+    return sorted(found)
+
+
+@lru_cache(maxsize=1)
+def _known() -> dict[str, Dataset]:
+    return load(KNOWN)
+
+
+def datasets() -> dict[str, Dataset]:
+    return _known() | _registered
+
+
 def get(slug: str) -> Dataset:
     if slug not in datasets():
         raise KeyError(f"no dataset {slug!r}; there are {', '.join(list_slugs())}")

@@ -4,6 +4,7 @@ import json
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import yaml
 from pyspark.sql import functions as F
@@ -72,6 +73,44 @@ def test_run_and_resume(world, spark):
     assert Job(spark, JobConfig(config(root, "a")), df).run(retry_failed=True) == counts and tif.stat().st_mtime_ns > stamp
 
 
+def test_merged_rasters_and_footprints(world, spark):
+    root, df = world
+    output = {"dir": str(root), "structure": {"filename_template": "{dataset}_{tile_id}_{window_label}_{strategy}_{date_start}_{date_end}"}}
+    Job(spark, JobConfig(config(root, "m", output=output)), df).run()
+    assert not (root / "m" / "staged").exists()
+    main, ndvi = (read_geotiff(root / "m" / "merged" / "2024-01-01" / f"2024-01-01{x}.tif") for x in ("", "_NDVI"))
+    assert main["band_names"] == ["B4", "B8"] and ndvi["band_names"] == ["NDVI"] and main["array"].shape[1] >= 32 and main["epsg"] == 32631
+    # Row 0 is the northernmost; the pixel of i = 3, j = 3 is cloudy in every scene.
+    x0, y0 = round((500000.0 - main["affine"][2]) / 10), round((main["affine"][5] - 320.0) / 10)
+    part = main["array"][:, y0 : y0 + 32, x0 : x0 + 32]
+    assert (part[0] == -9999).sum() == 1 and part[0, 28, 3] == -9999 and np.allclose(part[1][part[1] != -9999].reshape(-1)[:28], (3000 + np.arange(28)) / 10000, atol=1e-6)
+    tif = next((root / "m" / "tiles").rglob("*.tif"))
+    assert tif.stem.startswith("sentinel-2_") and tif.stem.endswith("_2024-01-01_median_2024-01-01_2024-01-31")
+    for path in (tif.with_suffix(".json"), root / "m" / "merged" / "2024-01-01" / "2024-01-01.json"):
+        item = json.loads(path.read_text())
+        assert all(2.99 < x < 3.02 for x in item["bbox"][::2]) and all(-0.01 < y < 0.02 for y in item["bbox"][1::2]) and item["geometry"]["coordinates"][0][0] == item["geometry"]["coordinates"][0][-1]
+    rows = pq.read_table(root / "m" / "catalog.parquet")
+    geo = json.loads(rows.schema.metadata[b"geo"])
+    assert geo["columns"]["geometry"]["crs"]["id"]["code"] == "CRS84" and rows.num_rows == len(list((root / "m").rglob("*.tif")))
+
+
+def test_one_failing_unit_leaves_the_others(world, spark):
+    root, df = world
+    more = {"pipeline": {"max_retries": 1}, "composite": {"window": {"type": "fixed_days", "size": 10}}}
+    job = Job(spark, JobConfig(config(root, "f", **more)), df)
+    some = job.tiles().first()["tile_id"]
+    blocked = root / "f" / "tiles" / "2024-01-01" / f"tile_{some}_2024-01-01.tif"
+    blocked.mkdir(parents=True)  # no file can take a folder's place
+    counts = job.run()
+    assert counts["failed"] == 1 and counts["done"] >= 1 and not (root / "f" / "merged").exists() and (root / "f" / "staged").exists()
+    m = Manifest(root / "f" / "manifest.db")
+    assert m.status(f"{some}_2024-01-01") == "failed" and "Error" in m.db.execute("SELECT last_error FROM unit WHERE status = 'failed'").fetchone()[0]
+    m.close()
+    blocked.rmdir()
+    counts = Job(spark, JobConfig(config(root, "f", **more)), df).run(retry_failed=True)
+    assert not counts.get("failed") and (root / "f" / "merged").exists() and not (root / "f" / "staged").exists()
+
+
 def test_scene_mode(world, spark):
     root, df = world
     scene = {"window": {"type": "scene", "min_valid_coverage": 0.5}}
