@@ -245,7 +245,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     cut = F.percentile_approx("perplexity", quantile, 10_000).alias("own")
     own = good.where("lang IS NOT NULL").groupBy("lang").agg(cut, F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH).drop("n")
     limit = F.coalesce(F.col("own"), F.lit(good.agg(cut).first()[0]).cast("double"))
-    scored = perplexities(docs.select("doc_id", F.xxhash64("text").alias("content"), "lang", "text"), models[ALL]).withColumn("perplexity", smooth)
+    scored = perplexities(docs.select("doc_id", F.xxhash64("text").alias("content"), "lang", "text"), models[ALL])
+    scored = materialise(scored, "perplexity", keep=True).withColumn("perplexity", smooth)
     return scored.join(small_side(own), "lang", "left").select(
         "doc_id", "content", "lang", "n_tokens", "perplexity", limit.alias("threshold"), (F.col("perplexity").isNotNull() & (limit.isNull() | (F.col("perplexity") <= limit))).alias("kept")
     )

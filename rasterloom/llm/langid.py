@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialise, scratch, small_side
-from rasterloom.llm.words import slices
+from rasterloom.llm.words import slices, trim
 
-#: Longest and shortest n-grams, labelled rows per language, entries per language and kind, words a worker remembers.
-NGRAMS, SAMPLE, VOCABULARY, REMEMBERED = (4, 3, 2, 1), 3000, 50_000, 150_000
+#: Longest and shortest n-grams, labelled rows per language, entries per language and kind, words a task remembers.
+NGRAMS, SAMPLE, VOCABULARY, REMEMBERED = (4, 3, 2, 1), 3000, 50_000, 100_000
 WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
@@ -147,7 +147,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, m, known = regex.compile(WORD).findall, sent.value, {}
+        find, m, known = regex.compile(WORD).findall, sent.value, {}  # known goes with the task
         for b in slices(batches):
             got = []
             for text in b.column(b.schema.get_field_index("text")).to_pylist():
@@ -168,5 +168,8 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
                 got.append((m.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
             columns = [b.column(b.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*kept, "lang_pred", "score"])
+        known.clear()
+        trim()
 
-    return df.select(*[F.col(f"`{c}`") for c in [*kept, "text"]]).mapInArrow(run, schema)
+    # Written here, where batches are small; a prediction is a hundredth of its text.
+    return materialise(df.select(*[F.col(f"`{c}`") for c in [*kept, "text"]]).mapInArrow(run, schema), "languages", keep=True)
