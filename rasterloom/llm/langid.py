@@ -17,11 +17,13 @@ in a prediction.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,11 +79,12 @@ def _fit(df: DataFrame, sample: int, vocabulary: int) -> "Model":
     words = materialise(words, "words")
     # The words of a bounded sample, the most frequent ones of which stay, of all languages in one job.
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
-    top = words.withColumn("place", place).where(F.col("place") <= 4 * vocabulary).toPandas().sort_values(["lang", "place"])
-    langs = sorted(top["lang"].unique())
+    top = words.withColumn("place", place).where(F.col("place") <= 4 * vocabulary).toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    langs = sorted(top["lang"].unique().to_pylist())
     counts: list[dict[str, dict[str, int]]] = [{x: {} for x in langs} for _ in range(1 + len(NGRAMS))]
-    for lang, group in top.groupby("lang"):
-        pairs = list(zip(group["word"].tolist(), group["n"].tolist()))
+    for lang in langs:
+        group = top.filter(pc.equal(top["lang"], lang))
+        pairs = list(zip(group["word"].to_pylist(), group["n"].to_pylist()))
         counts[0][lang] = {w: n for w, n in pairs[:vocabulary] if n > 1}
         for k, size in enumerate(NGRAMS):
             of: dict[str, int] = defaultdict(int)
@@ -98,7 +101,7 @@ class Model:
 
     def __init__(self, langs: list[str], counts: list[dict[str, dict[str, int]]]):
         self.langs, self.rows, size = langs, [], 0
-        self.unseen, kinds, ends, of_lang, more = np.zeros((1 + len(NGRAMS), len(langs))), [], [0], [], []
+        self.unseen, ends, of_lang, more = np.zeros((1 + len(NGRAMS), len(langs))), array("q", [0]), array("q"), array("d")
         for kind, (n, of) in enumerate(zip((1, *NGRAMS), counts)):
             keys = sorted(set().union(*of.values())) if langs else []
             total = [sum(of[x].values()) + len(keys) for x in langs]
@@ -111,8 +114,8 @@ class Model:
                         of_lang.append(i)
                         more.append(math.log((seen + 0.5) / 0.5) / n)
                 ends.append(len(more))
-            kinds += [kind] * len(keys)
-        self.kinds, self.starts, self.lengths = np.array(kinds, dtype=np.int64), np.array(ends[:-1], dtype=np.int64), np.diff(np.array(ends, dtype=np.int64))
+        self.kinds = np.repeat(np.arange(len(self.rows)), [len(r) for r in self.rows])
+        self.starts, self.lengths = np.array(ends[:-1], dtype=np.int64), np.diff(np.array(ends, dtype=np.int64))
         self.of_lang, self.more = np.array(of_lang, dtype=np.int64), np.array(more, dtype=np.float64)
 
     def total(self, rows: list[int], times: list[int]) -> np.ndarray:
