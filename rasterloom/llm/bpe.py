@@ -15,6 +15,8 @@ from __future__ import annotations
 import gc
 import hashlib
 import os
+import threading
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -31,6 +33,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Words whose ids a worker remembers, and the longest word (bytes) among them.
 REMEMBERED = 150_000
 LONGEST = 64
+#: Seconds after a task for which its worker keeps the codec.
+IDLE = 3.0
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -64,33 +68,38 @@ class Codec:
         for piece, i in vocabulary.items():
             self.pieces[i] = piece.encode() if piece in self.added else bytes(of[c] for c in piece)
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
-        self.table: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         if self.cut and any(x in text for x in self.added):
             return [w for part in self.cut(text) if part for w in ([part] if part in self.added else self.find(part))]
         return self.find(text)
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids (little-endian, 32 bits each) of words that the table lacks; each is encoded once."""
-        new, got = list(words), {}
-        for i in range(0, len(new), 4096):  # encodings hold much more than ids
-            part = new[i : i + 4096]
-            got |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False))}
-        if len(self.table) + len(got) > REMEMBERED:
-            self.table = {}
-        if len(got) <= REMEMBERED:
-            self.table |= {w: b for w, b in got.items() if len(w) <= LONGEST}
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (little-endian, 32 bits each) of words; encodings hold much more than ids, so they are asked for in parts."""
+        got = {}
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            got |= {w: array("I", e.ids).tobytes() for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))}
         return got
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [self.words(t) for t in texts]
-        distinct = set().union(*split) if split else set()
-        table = self.table
-        new = {w for w in distinct if w not in table}
-        if new:
-            known = {w: table[w] for w in distinct if w in table}
-            table = known | self.learn(new)
+        table, new = {}, []
+        for w in set().union(*split):
+            if (ids := self.young.get(w)) is None and (ids := self.old.get(w)) is not None:
+                self.young[w] = ids
+            if ids is None:
+                new.append(w)
+            else:
+                table[w] = ids
+        got = self.learn(new)
+        table |= got
+        # Words of the last half of what may be remembered, and before them those of the half before.
+        self.young |= {w: b for w, b in got.items() if len(w) <= LONGEST} if len(got) <= REMEMBERED // 2 else {}
+        if len(self.young) > REMEMBERED // 2:
+            self.old, self.young = self.young, {}
         for words in split:
             yield np.frombuffer(b"".join([table[w] for w in words]), dtype="<u4")
 
@@ -99,17 +108,39 @@ class Codec:
         return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
 
 
+class _Kept:
+    """A worker's codec. Its next task goes on with it; where none comes for a while, its memory is handed back, as other tasks need it."""
+
+    lock = threading.Lock()
+    of: int | None = None
+    codec: Codec | None = None
+    timer: threading.Timer | None = None
+
+    @classmethod
+    def drop(cls) -> None:
+        with cls.lock:
+            cls.of = cls.codec = cls.timer = None
+        gc.collect()
+        trim()
+
+
 @contextmanager
 def _codec(sent: Broadcast) -> Iterator[Codec]:
-    """A task's codec. It goes with the task: workers live on, and their next tasks need the memory."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # threads of its own each come with a heap of their own
-    codec = Codec(sent.value)
+    with _Kept.lock:
+        if _Kept.timer:
+            _Kept.timer.cancel()
+        codec, of = _Kept.codec, hash(sent.value)
+        if codec is None or _Kept.of != of:
+            codec = _Kept.codec = Codec(sent.value)
+            _Kept.of = of
     try:
         yield codec
     finally:
-        vars(codec).clear()
-        gc.collect()
-        trim()
+        with _Kept.lock:
+            _Kept.timer = threading.Timer(IDLE, _Kept.drop)
+            _Kept.timer.daemon = True
+            _Kept.timer.start()
 
 
 def _vocabulary(spark: SparkSession, path: str | None) -> Broadcast:
