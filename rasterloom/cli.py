@@ -62,6 +62,11 @@ def main(argv: list[str] | None = None) -> int:
         m.close()
     elif a.command == "cleanup":
         shutil.rmtree(root / "tiles", ignore_errors=True)
+        if kept := job.stored_region(config):
+            from rasterloom.sources import stored
+
+            if stored.delete(_spark(), kept):
+                print(f"deleted {kept}")
     else:
         from rasterloom.operators.scenes import NoScenesAvailable
 

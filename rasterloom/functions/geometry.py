@@ -126,6 +126,24 @@ def classify_tile(polys: list[Polygon], box: tuple[float, float, float, float],
     return ("edge", share) if share < threshold else ("partial", share)
 
 
+def meets(polys: list[Polygon], minx, miny, maxx, maxy) -> np.ndarray:
+    """Which rectangles share a point with any of the polygons, borders included."""
+    box = [np.atleast_1d(np.asarray(v, float)) for v in (minx, miny, maxx, maxy)]
+    found = np.zeros(len(box[0]), bool)
+    for poly in polys:
+        found |= contains(poly, box[0], box[1], boundary=True)  # a rectangle within the polygon; all others meet an edge
+        for x1, y1, x2, y2 in _edges(poly):
+            enter, leave = np.zeros(len(found)), np.ones(len(found))
+            for start, step, low, high in ((x1, x2 - x1, box[0], box[2]), (y1, y2 - y1, box[1], box[3])):
+                if step:
+                    a, b = (low - start) / step, (high - start) / step
+                    enter, leave = np.maximum(enter, np.minimum(a, b)), np.minimum(leave, np.maximum(a, b))
+                else:
+                    leave = np.where((low <= start) & (start <= high), leave, -1.0)
+            found |= enter <= leave
+    return found
+
+
 # The WGS 84 ellipsoid and the UTM scale on the central meridian.
 SEMI_MAJOR = 6378137.0
 FLATTENING = 1 / 298.257223563

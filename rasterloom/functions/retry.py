@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections.abc import Callable
 from typing import TypeVar
@@ -33,3 +34,26 @@ def with_retry(call: Callable[[], T], attempts: int = 6, base: float = 1.0, cap:
                 raise
             sleep(delay(n, base, cap))
     raise AssertionError("attempts must be above 0")
+
+
+def within(seconds: float | None, call: Callable[..., T], *args) -> T:
+    """The call's result, or a TimeoutError (which is transient) when it takes longer; a late call ends by itself, unheard."""
+    if not seconds:
+        return call(*args)
+    said: list[tuple[T | None, BaseException | None]] = []
+
+    def run() -> None:
+        try:
+            said.append((call(*args), None))
+        except BaseException as e:
+            said.append((None, e))
+
+    one = threading.Thread(target=run, daemon=True)
+    one.start()
+    one.join(seconds)
+    if not said:
+        raise TimeoutError(f"not done in {seconds:g} s")
+    value, error = said[0]
+    if error:
+        raise error
+    return value

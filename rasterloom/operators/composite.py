@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions import geometry as geo
+
 STRATEGIES = ("median", "mean", "mosaic", "none")
 
 
@@ -22,6 +25,21 @@ def bounds_filter(df: DataFrame, minx: float, miny: float, maxx: float, maxy: fl
     return df.where((F.col("minx") <= maxx) & (F.col("maxx") >= minx) & (F.col("miny") <= maxy) & (F.col("maxy") >= miny))
 
 
+def region_filter(df: DataFrame, polys: list[geo.Polygon]) -> DataFrame:
+    """Footprints (minx to maxy of df) that meet a region: its box on the raw columns, which reaches the scan, then its outline."""
+
+    @F.pandas_udf("boolean")
+    def meets(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+        return pd.Series(geo.meets(polys, minx, miny, maxx, maxy))
+
+    return bounds_filter(df, *geo.bounds(polys)).where(meets(*(F.col(c).cast("double") for c in ("minx", "miny", "maxx", "maxy"))))
+
+
+def single_scene(df: DataFrame, scene_id: str, scene: str = "scene_id") -> DataFrame:
+    """One scene by its id, a filter on the raw column."""
+    return df.where(F.col(scene) == F.lit(scene_id).cast(dict(df.dtypes)[scene]))
+
+
 def property_filter(df: DataFrame, filters: Sequence[tuple[str, object]], props: str | None = "props") -> DataFrame:
     for name, value in filters:
         df = df.where((F.col(props)[name] if props else F.col(name)) == F.lit(value))

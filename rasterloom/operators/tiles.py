@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from rasterloom.functions import grid
 
 MIN_SIDE_PX = 32
 KEPT = ("inside", "partial")
+#: Edges up to which a region is an expression; longer ones compile slowly or not at all.
+EDGES = 300
 
 
 def generate_tiles(spark: SparkSession, polys: list[geo.Polygon], resolution_m: float, n_bands: int, overlap_px: int = 2, skip_coverage: float = 0.05, snap_m: float = 100, max_tile_bytes: int | None = None, all_classes: bool = False) -> DataFrame:
@@ -58,7 +61,17 @@ def assign_pixels(df: DataFrame, x0: float, y0: float, side: float, x: str = "x"
 
 
 def inside_polygon(polys: list[geo.Polygon], x: Column, y: Column) -> Column:
-    """Pixel centres inside the region, as a code-generated expression of its edges (regions of a few hundred edges)."""
+    """Pixel centres inside the region: a code-generated expression of its edges, or, of more than EDGES, an Arrow function."""
+    if sum(len(ring) for poly in polys for ring in poly) > EDGES:
+
+        @F.pandas_udf("boolean")
+        def within(xs: pd.Series, ys: pd.Series) -> pd.Series:
+            found = np.zeros(len(xs), bool)
+            for poly in polys:
+                found |= geo.contains(poly, xs, ys)
+            return pd.Series(found)
+
+        return within(x, y)
     inside = F.lit(False)
     for poly in polys:
         odd = F.lit(0)

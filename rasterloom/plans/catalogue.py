@@ -7,9 +7,14 @@ part's keys make a 64-column grid.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +24,8 @@ from rasterloom.operators import bands as band_ops
 from rasterloom.operators import blocks, scenes, tiles
 from rasterloom.operators import composite as comp
 from rasterloom.operators import windows as win
+from rasterloom.sources import files, registry, sinks
 from rasterloom.sources import manifest as man
-from rasterloom.sources import registry, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,6 +45,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def output_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; only where none is set, as in tests, one of this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rasterloom-")
+    return f"{re.sub('^file:/+', '/', base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("px"), F.col("l_shipdate").alias("acquired_at"), F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("source"),
@@ -142,6 +153,29 @@ def filter_bounds_bbox(spark, sf_dir):
     return comp.bounds_filter(df, 95, 45, 200, 150).select("px")
 
 
+# Corners of a region, the same in the SQL, where a box meets it unless an axis or one of its edges parts them.
+_TRIANGLE = ((10, 5), (70, 25), (30, 75))
+_BOX = "o_custkey % 97 AS x0, o_orderkey % 89 AS y0, o_custkey % 97 + 3 AS x1, o_orderkey % 89 + 2 AS y1"
+
+
+def _apart() -> str:
+    said = ["x1 < 10 OR x0 > 70 OR y1 < 5 OR y0 > 75"]
+    for (ax, ay), (bx, by) in zip(_TRIANGLE, (*_TRIANGLE[1:], _TRIANGLE[0])):
+        said.append(" AND ".join(f"({bx - ax}) * ({y} - ({ay})) - ({by - ay}) * ({x} - ({ax})) < 0" for x in ("x0", "x1") for y in ("y0", "y1")))
+    return " OR ".join(f"({s})" for s in said)
+
+
+@query("filter_region_outline", f"SELECT scene_id FROM (SELECT o_orderkey AS scene_id, {_BOX} FROM orders) WHERE NOT ({_apart()})")
+def filter_region_outline(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS scene_id", *(p.replace("x0", "minx").replace("y0", "miny").replace("x1", "maxx").replace("y1", "maxy") for p in _BOX.split(", ")))
+    return comp.region_filter(df, [[[(float(x), float(y)) for x, y in _TRIANGLE]]]).select("scene_id")
+
+
+@query("single_scene", "SELECT CAST(event_id AS VARCHAR) AS scene_id, user_id, value FROM events WHERE event_id = 77")
+def single_scene(spark, sf_dir):
+    return comp.single_scene(read(spark, sf_dir, "events").select("event_id", "user_id", "value"), "77", "event_id").select(F.col("event_id").cast("string").alias("scene_id"), "user_id", "value")
+
+
 @query("filter_property_eq", "SELECT o_orderkey AS scene_id, o_orderdate AS acquired_at FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def filter_property_eq(spark, sf_dir):
     df = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS scene_id", "o_orderdate AS acquired_at", "map('status', o_orderstatus, 'priority', o_orderpriority) AS props")
@@ -268,6 +302,11 @@ def cast_int16(spark, sf_dir):
     return blocks.cast_bands(pixels(spark, sf_dir).select("scene_id", "line", "nir"), ["nir"], "int16")
 
 
+@query("cast_uint16", "SELECT l_orderkey AS scene_id, l_linenumber AS line, CASE WHEN trunc(l_extendedprice) <= 65535 THEN CAST(trunc(l_extendedprice) AS INTEGER) END AS nir FROM lineitem")
+def cast_uint16(spark, sf_dir):
+    return blocks.cast_bands(pixels(spark, sf_dir).select("scene_id", "line", "nir"), ["nir"], "uint16")
+
+
 @query("split_by_index", """
 SELECT px, 'nir' AS band, nir AS value FROM (""" + _OPTICAL + ") UNION ALL SELECT px, 'red', red FROM (" + _OPTICAL + ")")
 def split_by_index(spark, sf_dir):
@@ -397,6 +436,12 @@ def units_cross(spark, sf_dir):
     return tiles.work_units(cells, win.windows_df(spark, win.generate_windows(*JANUARY, "fixed_days", 10)).select("label")).select("unit_id")
 
 
+@query("units_per_window", f"SELECT label, (SELECT count(*) FROM nation) AS n FROM ({_fixed('2024-01-01', '2024-01-31', 10, 10)})")
+def units_per_window(spark, sf_dir):
+    cells = read(spark, sf_dir, "nation").select(F.col("n_name").alias("tile_id"))
+    return man.units_per_window(tiles.work_units(cells, win.windows_df(spark, win.generate_windows(*JANUARY, "fixed_days", 10)).select("label")))
+
+
 @query("pending_semi", f"SELECT unit_id FROM ({_STATES}) WHERE status IN ('pending', 'failed')")
 def pending_semi(spark, sf_dir):
     df = units(spark, sf_dir)
@@ -467,9 +512,35 @@ def merge_first(spark, sf_dir):
     return blocks.merge_first(df, ["label", "px"], ["value"], ["vec_id"])
 
 
-@query("catalog_rows", "SELECT l_partkey AS tile_id, min(l_quantity) AS minx, min(l_tax) AS miny, max(l_quantity) AS maxx, max(l_tax) AS maxy, count(*) AS n FROM lineitem GROUP BY 1")
+@query("catalog_rows", """
+SELECT CAST(s_suppkey AS VARCHAR) AS tile_id, '2024-01-01T00:00:00Z' AS datetime, s_name AS path, CAST(s_nationkey AS DOUBLE) AS minx, CAST(-s_nationkey AS DOUBLE) AS miny,
+       CAST(s_nationkey + 1.5 AS DOUBLE) AS maxx, CAST(2 - s_nationkey AS DOUBLE) AS maxy FROM supplier""")
 def catalog_rows(spark, sf_dir):
-    return pixels(spark, sf_dir).groupBy(F.col("px").alias("tile_id")).agg(F.min("red").alias("minx"), F.min("green").alias("miny"), F.max("red").alias("maxx"), F.max("green").alias("maxy"), F.count(F.lit(1)).alias("n"))
+    """The catalog file of a small table's boxes, read back; footprints are decoded from their binary form."""
+    rows = read(spark, sf_dir, "supplier").selectExpr("CAST(s_suppkey AS string) AS tile_id", "'2024-01-01T00:00:00Z' AS datetime", "s_name AS path", "array(s_nationkey, -s_nationkey, s_nationkey + 1.5D, 2D - s_nationkey) AS bbox")
+    folder = Path(output_folder(spark, "catalog"))
+    folder.mkdir(parents=True, exist_ok=True)
+    made = sinks.write_catalog(folder, [r.asDict() for r in rows.collect()])
+
+    def decode(parts):
+        for p in parts:
+            rings = [np.frombuffer(g, "<f8", offset=13).reshape(-1, 2) for g in p.pop("geometry")]
+            yield p.assign(**{n: [f(r[:, i]) for r in rings] for n, f, i in (("minx", np.min, 0), ("miny", np.min, 1), ("maxx", np.max, 0), ("maxy", np.max, 1))})
+
+    return spark.read.parquet(str(made)).mapInPandas(decode, "tile_id string, datetime string, path string, minx double, miny double, maxx double, maxy double")
+
+
+@query("tiff_round_trip", f"SELECT vec_id, CAST(i % 8 + 0.5 AS DOUBLE) AS x, CAST(7.5 - i // 8 AS DOUBLE) AS y, round(CAST(v AS DOUBLE), 5) + 0.0 AS value FROM ({_CELL})")
+def tiff_round_trip(spark, sf_dir):
+    """Blocks written as GeoTIFFs by the tasks and scanned again as a collection of pixels."""
+    made = blocks.to_blocks(cells(spark, sf_dir).select(F.col("vec_id").cast("string").alias("tile_id"), F.lit("all").alias("label"), "row", "col", "value"), ["tile_id", "label"], ["value"], 8, 8)
+    made = made.withColumns({"a": F.lit(1.0), "c": F.lit(0.0), "e": F.lit(-1.0), "f": F.lit(8.0)})
+    folder = output_folder(spark, "tiff")
+    failed = sinks.tiff_writer(made, folder, ["value"], 32631, compression="DEFLATE", template="{tile_id}").where("error IS NOT NULL OR path IS NULL").first()
+    if failed:
+        raise RuntimeError(str(failed))
+    found = files.tile_pixels(files.scan_tiles(spark, f"{folder}/all"), ["value"])
+    return found.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("vec_id"), "x", "y", F.round("value", 5).alias("value"))
 
 
 @query("stac_json", """

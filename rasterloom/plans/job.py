@@ -24,8 +24,9 @@ from rasterloom.operators import composite as comp
 from rasterloom.operators import windows as win
 from rasterloom.plans.config import JobConfig
 from rasterloom.sources import manifest as man
-from rasterloom.sources import registry, sinks
-from rasterloom.sources.vector import auto_tolerance, load_region
+from rasterloom.sources import files as files_of
+from rasterloom.sources import registry, sinks, stored
+from rasterloom.sources.vector import Region, auto_tolerance, load_region
 
 log = logging.getLogger("rasterloom")
 #: Units after which progress is told.
@@ -63,11 +64,25 @@ def n_bands(config: JobConfig) -> int:
     return max(1, len(spec.band_names() if select is None else select) + len(config.dataset.indices))
 
 
+def open_region(spark: SparkSession, config: JobConfig) -> Region:
+    """From a file, or a stored region's folder."""
+    r = config.roi
+    if Path(r.path).suffix or Path(r.path).is_file():
+        return load_region(r.path, r.layer, r.feature_mode, r.filter_expr)
+    return stored.load(spark, r.path)
+
+
+def stored_region(config: JobConfig) -> str | None:
+    """Where the job keeps its region for others; None without asset.base_path, or if it reads a stored one itself."""
+    base, source = config.asset.base_path, Path(config.roi.path)
+    return stored.path_for(base, source) if base and source.is_file() else None
+
+
 class Job:
     def __init__(self, spark: SparkSession, config: JobConfig, pixels: DataFrame):
         self.spark, self.config, self.spec = spark, config, registry.get(config.dataset.name)
         self.warnings = validate(config)
-        self.region = load_region(config.roi.path, config.roi.layer, config.roi.feature_mode, config.roi.filter_expr)
+        self.region = open_region(spark, config)
         tolerance = config.roi.simplify_tolerance
         self.outline = self.region.simplified(auto_tolerance(self.spec.native_res) if tolerance == "auto" else tolerance)
         self.pixels = pixels
@@ -77,9 +92,12 @@ class Job:
         return tiles.generate_tiles(self.spark, self.region.polygons, self.spec.native_res, n_bands(self.config), t.overlap_px, t.skip_coverage_threshold, t.grid_snap_m, t.max_tile_bytes)
 
     def collection(self) -> DataFrame:
-        """Filtered by region box and properties, masked; dates are the windows' business."""
+        """Filtered by region (its box, which reaches the scan, then its outline) and properties, masked; dates are the windows' business."""
         minx, miny, maxx, maxy = bounds(self.region.polygons)
         df = self.pixels.where(F.col("x").between(minx, maxx) & F.col("y").between(miny, maxy))
+        # Whole tiles aren't clipped to the simplified outline, so the exact one counts, too.
+        either = self.outline.polygons + (self.region.polygons if self.region.polygons != self.outline.polygons else [])
+        df = df.where(tiles.inside_polygon(either, F.col("x"), F.col("y")))
         df = comp.property_filter(df, self.spec.extra_filters)
         return self.masked(df)
 
@@ -162,6 +180,8 @@ class Job:
                 p.unlink()
             shutil.rmtree(root / "staged", ignore_errors=True)
         (root / "job.yaml").write_text(c.dump())
+        if kept := stored_region(c):
+            stored.store(self.spark, self.outline, kept)
         windows = self.windows()
         units = tiles.work_units(self.tiles().select("tile_id"), win.windows_df(self.spark, windows).select("label"))
         manifest = man.Manifest(root / "manifest.db")
@@ -183,6 +203,8 @@ class Job:
                 self._finish(root, windows, manifest)
                 manifest.complete_job(c.config_hash())
                 shutil.rmtree(root / "staged", ignore_errors=True)
+                if kept and c.asset.auto_cleanup:
+                    stored.delete(self.spark, kept)
             self._hook(c.hooks.post_job, c, counts)
             return counts
         finally:
@@ -201,7 +223,7 @@ class Job:
         made = made.withColumn("unit_id", F.concat_ws("_", "tile_id", "label")).join(todo.select("unit_id"), "unit_id", "left_semi").drop("unit_id")
         manifest.claim_all(left)
         files = sinks.tiff_writer(
-            made, str(root / "tiles"), names, self.region.epsg, o.dtype, o.nodata, o.compression, o.format == "COG", o.structure.filename_template, self._fields(windows), c.pipeline.max_retries, c.pipeline.retry_base_delay
+            made, str(root / "tiles"), names, self.region.epsg, o.dtype, o.nodata, o.compression, o.format == "COG", o.structure.filename_template, self._fields(windows), c.pipeline.max_retries, c.pipeline.retry_base_delay, c.pipeline.timeout_per_tile
         )
         boxes = {r["tile_id"]: tuple(r)[1:] for r in self.tiles().select("tile_id", "minx", "miny", "maxx", "maxy").toLocalIterator()}
         of, open_ = {w.label: w for w in windows}, set(left)
@@ -242,8 +264,9 @@ class Job:
             w, members = of[r["label"]], [r["name"]] if r["name"] != "main" else [n for n in names if n not in extra]
             ring = footprint((r["minx"], r["miny"], r["maxx"], r["maxy"]), self.region.epsg)
             sinks.write_sidecar(r["path"], sinks.stac_item(Path(r["path"]).stem, r["path"], ring, w.start, w.end, self.spec.slug, self.spec.native_res, members))
-        if rows := [*sinks.read_sidecars(root / "merged"), *sinks.read_sidecars(root / "tiles")]:
-            sinks.write_catalog(root, rows)
+        found = [r.asDict() for d in ("merged", "tiles") if (root / d).exists() for r in files_of.scan_documents(self.spark, str((root / d).absolute())).toLocalIterator()]
+        if found:
+            sinks.write_catalog(root, found)
 
     @staticmethod
     def _hook(name: str | None, *args) -> None:

@@ -37,14 +37,15 @@ def file_name(template: str, **fields) -> str:
 
 def tiff_writer(
     blocks: DataFrame, folder: str, bands: Sequence[str], epsg: int, dtype: str = "float32", nodata: float = -9999.0, compression: str = "LZW", overviews: bool = True,
-    template: str = "tile_{tile_id}_{window_label}", fields: dict[str, dict[str, str]] | None = None, retries: int = 1, delay: float = 1.0,
+    template: str = "tile_{tile_id}_{window_label}", fields: dict[str, dict[str, str]] | None = None, retries: int = 1, delay: float = 1.0, timeout: float | None = None,
 ) -> DataFrame:
     """One GeoTIFF per block row (tile_id, label, width, height, a, c, e, f, bands...), written by the tasks to a shared folder.
 
     Returns tile_id, label, path, n_valid, error. A block without a valid pixel makes no file and has a null path; what goes wrong
     with one block is tried again if that may help, and then told in its row, and others go on. fields: further template fields by label.
+    timeout: seconds that one try at a block's file may take.
     """
-    from rasterloom.functions.retry import with_retry
+    from rasterloom.functions.retry import with_retry, within
     from rasterloom.sources.tiff import write_geotiff
 
     names, of = list(bands), fields or {}
@@ -57,7 +58,7 @@ def tiff_writer(
             return None, 0
         path = f"{folder}/{r['label']}/{file_name(template, tile_id=r['tile_id'], window_label=r['label'], **of.get(r['label'], {}))}.tif"
         affine = (r["a"], 0.0, r["c"], 0.0, r["e"], r["f"])
-        return str(with_retry(lambda: write_geotiff(path, a, affine, epsg, names, dtype, nodata, compression, overviews), max(1, retries), delay)), valid
+        return str(with_retry(lambda: within(timeout, write_geotiff, path, a, affine, epsg, names, dtype, nodata, compression, overviews), max(1, retries), delay)), valid
 
     def run(batches):
         for p in batches:
@@ -134,16 +135,6 @@ def stac_json(df: DataFrame, platform: str) -> DataFrame:
     return df.select("tile_id", F.to_json(F.struct(F.col("tile_id").alias("id"), F.array("minx", "miny", "maxx", "maxy").alias("bbox"), props.alias("properties"))).alias("stac"))
 
 
-def read_sidecars(root: str | Path) -> list[dict]:
-    """tile_id, datetime, path, bbox and ring of every raster that has its document beside it."""
-    out = []
-    for tif in sorted(Path(root).rglob("*.tif")):
-        if tif.with_suffix(".json").exists():
-            item = json.loads(tif.with_suffix(".json").read_text())
-            out.append({"tile_id": item["id"], "datetime": item["properties"]["datetime"], "path": str(tif), "bbox": item["bbox"], "ring": item["geometry"]["coordinates"][0]})
-    return out
-
-
 def wkb_polygon(ring: Sequence[Sequence[float]]) -> bytes:
     return struct.pack("<BIII", 1, 3, 1, len(ring)) + b"".join(struct.pack("<dd", *p) for p in ring)
 

@@ -180,10 +180,13 @@ def _directory(out: bytearray, tags: list[tuple[int, str, list]], link: int) ->
 
 
 def read_geotiff(path: str | Path) -> dict:
+    return parse_geotiff(Path(path).read_bytes())
+
+
+def parse_geotiff(raw: bytes) -> dict:
     """array, affine, epsg, band_names, nodata, and the overviews' arrays of a file that write_geotiff wrote."""
     import re
 
-    raw, at = Path(path).read_bytes(), None
     at = struct.unpack_from("<I", raw, 4)[0]
     levels, first = [], None
     while at:
